@@ -37,7 +37,7 @@ def index(pages: DataFrame, least: int = 100, archive_bytes: int = 64 << 20) ->
     )
     first = base.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"))
     known = base.join(first, "digest", "left")
-    revisit = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") <> F.col("first")))
+    revisit = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first")))
     known = known.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first")))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
