@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, warc
+from . import mixing, quality, sharding, warc
 
 
 def queries():
     return {
         "op5_sharding": sharding.query,
         "op7_warc": warc.query,
+        "op9_quality": quality.query,
         "op10_mixing": mixing.query,
     }
 
