@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding, warc
+from . import fingerprints, mixing, quality, sharding, warc
 
 
 def queries():
     return {
+        "op1_fingerprints": fingerprints.query,
         "op5_sharding": sharding.query,
         "op7_warc": warc.query,
         "op9_quality": quality.query,
