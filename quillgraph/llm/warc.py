@@ -20,7 +20,7 @@ DATE = "2020-01-01T00:00:00Z"
 INDEX_SCHEMA = "archive int, offset long, length long, url string, digest string, page_id long, record_type string, refers_to long, payload_bytes long"
 
 
-def index(pages: DataFrame, least: int = 100, archive_bytes: int = 64 << 20) -> DataFrame:
+def index(pages: DataFrame, least: int = 100, archive_bytes: int = 32 << 20) -> DataFrame:
     """One row per row of ``pages(page_id, url, html)``, with the record's head in ``head``.
 
     Of equal payloads (UTF-8 of html, null: empty) of at least ``least`` bytes, the smallest page_id is the response and
@@ -68,15 +68,17 @@ def write(pages: DataFrame, path: str, **options) -> DataFrame:
     stored = spark.read.parquet(f"{path}/index")
     archives = (stored.agg(F.max("archive")).first()[0] or 0) + 1
     bodies = pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "[\r\n]+", " ").alias("url"),
+        F.col("page_id").cast("long").alias("__page"),
+        F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "[\r\n]+", " ").alias("__url"),
         F.coalesce(F.col("html"), F.lit("")).alias("body"),
-    ).withColumn("digest", F.sha2("body", 256)).dropDuplicates(["page_id", "url", "digest"])
-    same = (stored["page_id"].eqNullSafe(bodies["page_id"])) & (stored["url"] == bodies["url"]) & (stored["digest"] == bodies["digest"])
+    ).withColumn("__digest", F.sha2("body", 256))
+    # rows that are equal in all of this have equal records side by side in the index, so the first one's place will do
+    places = stored.groupBy("archive", "page_id", "url", "digest").agg(F.min("offset").alias("offset"), F.first("record_type").alias("record_type"), F.first("head").alias("head"))
+    same = F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("url") == F.col("__url")) & (F.col("digest") == F.col("__digest"))
     value = F.concat("head", F.when(F.col("record_type") == "response", F.col("body")).otherwise(F.lit("")))
     (
-        stored.join(bodies, same).select(stored["archive"], "offset", value.alias("value"))
-        .repartition(archives, "archive").sortWithinPartitions("archive", "offset").drop("offset")
+        places.join(bodies, same).select("archive", "offset", value.alias("value"))
+        .repartition(2 * archives, "archive").sortWithinPartitions("archive", "offset").drop("offset")
         .write.partitionBy("archive").option("lineSep", END).text(f"{path}/archives")
     )
     return spark.read.parquet(f"{path}/index").drop("head")
