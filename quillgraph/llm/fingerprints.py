@@ -2,8 +2,8 @@
 
 Terms whose document frequency lies in a band form the lexicon. A text's distinct terms of the lexicon are sorted and
 several randomised subsets of the lexicon are hashed; each subset is a random slice of it. Slices of three densities
-are used, so that texts of any length have slices in which only a few of their terms fall; such a slice's hash
-survives edits elsewhere. Likeness is the share of equal hashes among slices in which either text has a term.
+are used (the first covers the whole lexicon), so that texts of any length have slices in which only a few of their terms
+fall; such a slice's hash survives edits elsewhere. Likeness is the share of equal hashes among slices in which either text has a term.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: (one slice has 1/density of the lexicon, number of slices)
-TIERS = ((16, 12), (128, 24), (1024, 24))
+TIERS = ((16, 16), (128, 24), (1024, 24))
 EMPTY = "-"
+ORDER = Window.partitionBy("__bucket").orderBy(F.col("doc_id").asc_nulls_first(), "__text_key")
 
 
 def terms_of(text: Column) -> Column:
@@ -47,16 +48,18 @@ def _in_slice(tier: int, k: int):
     return lambda h: _part(h, tier) == k
 
 
-def sliced(df: DataFrame, terms: str, out: str) -> DataFrame:
-    """Adds ``out``: the hashes of all slices of a sorted array of terms, as one string; drops ``terms``.
+def sliced(df: DataFrame, terms: str, whole: str, out: str) -> DataFrame:
+    """Adds ``out``: the hashes of all slices of a sorted array of terms, as one string; drops ``terms`` and ``whole``.
 
-    Each step is a projection of its own, so that no array is worked out twice.
+    An empty array's slices are hashes of ``whole``. Each step is a projection of its own, so that no array is worked
+    out twice.
     """
     tiers = {f"__tier{t}": F.filter(terms, _in_tier(t)) for t in range(len(TIERS))}
     owns = F.array(*[F.filter(f"__tier{t}", _in_slice(t, k)) for t, (_, count) in enumerate(TIERS) for k in range(count)])
-    code = lambda own, k: F.when(F.size(own) == 0, F.lit(EMPTY)).otherwise(
-        F.lpad(F.lower(F.hex(F.xxhash64(own, k).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"))
-    return df.withColumns(tiers).withColumn("__owns", owns).withColumn(out, F.array_join(F.transform("__owns", code), " ")).drop(terms, "__owns", *tiers)
+    text = lambda h: F.lpad(F.lower(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
+    code = lambda own, k: F.when(F.col("__none"), text(F.xxhash64(whole, k))).when(F.size(own) == 0, F.lit(EMPTY)).otherwise(text(F.xxhash64(own, k)))
+    steps = df.withColumns(tiers | {"__none": F.size(terms) == 0}).withColumn("__owns", owns)
+    return steps.withColumn(out, F.array_join(F.transform("__owns", code), " ")).drop(terms, whole, "__none", "__owns", *tiers)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -67,22 +70,34 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(either == 0, F.lit(0.0)).otherwise(equal / either).cast("double")
 
 
-def fingerprint(texts: DataFrame, keys: list[str], lexicon_: DataFrame, few: int = 12) -> DataFrame:
-    """``texts(*keys, text)`` -> ``(*keys, fingerprint)``; keys must identify rows.
+def fingerprint(texts: DataFrame, keys: list[str], columns: list[str], facts: list[str], lexicon_: DataFrame, few: int = 12) -> DataFrame:
+    """``texts(*keys, *columns, *facts)`` -> ``(*keys, *facts, <column>_print for each column)``; keys identify rows.
 
-    Texts with fewer than ``few`` distinct terms, and texts without any term of the lexicon, keep all their terms.
-    Where texts are already dealt out by one of the keys, nothing is shuffled.
+    Texts with fewer than ``few`` distinct terms keep all of them; a text without any kept term has a fingerprint that
+    only texts with the same terms in the same order share. A row's facts travel with the first of its exploded rows, so
+    nothing is joined back; where rows are dealt out by one of the keys already, nothing is shuffled.
     """
-    base = texts.select(*keys, terms_of(F.coalesce("text", F.lit(""))).alias("terms"))
-    rows = base.select(*keys, (F.size("terms") < few).alias("short"), F.explode("terms").alias("term"))
+    base = texts.select(*keys, *facts, *[terms_of(F.coalesce(c, F.lit(""))).alias(f"__t{i}") for i, c in enumerate(columns)])
+    void = F.lit(None)
+    first = F.array(F.struct(void.cast("int").alias("of"), F.struct(*facts, *[F.xxhash64(f"__t{i}").alias(f"__whole{i}") for i in range(len(columns))]).alias("facts"), void.cast("long").alias("term"), F.lit(False).alias("short")))
+    kind = texts.select(F.struct(*facts, *[F.lit(0).cast("long").alias(f"__whole{i}") for i in range(len(columns))])).schema[0].dataType
+    rest = [
+        F.transform(f"__t{i}", (lambda i: lambda h: F.struct(F.lit(i).alias("of"), void.cast(kind).alias("facts"), h.alias("term"), (F.size(f"__t{i}") < few).alias("short")))(i))
+        for i in range(len(columns))
+    ]
+    rows = base.select(*keys, F.explode(F.concat(first, *rest)).alias("__x")).select(*keys, "__x.of", "__x.facts", "__x.term", "__x.short")
     known = F.broadcast(lexicon_.select("term", F.lit(True).alias("known")))
-    kept = rows.join(known, "term", "left").where("short OR known").groupBy(*keys).agg(F.array_sort(F.collect_list("term")).alias("kept"))
-    joined = base.join(kept, keys, "left")
-    return sliced(joined.select(*keys, F.coalesce("kept", F.array_sort("terms")).alias("__some")), "__some", "fingerprint")
+    kept = rows.join(known, "term", "left").where("of IS NULL OR short OR known")
+    lists = [F.collect_list(F.when(F.col("of") == i, F.col("term"))).alias(f"__k{i}") for i in range(len(columns))]
+    out = kept.groupBy(*keys).agg(F.first("facts", ignorenulls=True).alias("facts"), *lists)
+    out = out.select(*keys, "facts.*", *[F.array_sort(f"__k{i}").alias(f"__k{i}") for i in range(len(columns))])
+    for i, c in enumerate(columns):
+        out = sliced(out, f"__k{i}", f"__whole{i}", f"{c}_print")
+    return out
 
 
 def in_order(docs: DataFrame, bucket_bytes: int = 8 << 20, cells: int = 8192) -> tuple[DataFrame, list[int]]:
-    """Adds ``__bucket`` and ``__pos``: buckets ascend by doc_id, rows within one by (doc_id, text); null doc_ids come first.
+    """Adds ``__bucket`` and ``__text_key``: buckets ascend by doc_id, rows within one by (doc_id, text); null doc_ids come first.
 
     Buckets of about ``bucket_bytes`` are runs of up to ``cells`` equal ranges of doc_id; there are at most ``cells``.
     Returns the buckets that have rows, too.
@@ -99,9 +114,7 @@ def in_order(docs: DataFrame, bucket_bytes: int = 8 << 20, cells: int = 8192) ->
         filled += size
         bucket_of[c] = bucket
     table = F.from_json(F.lit(str(bucket_of)), "array<int>")
-    dealt = docs.withColumn("__bucket", F.element_at(table, cell + 1)).withColumn("__text_key", F.xxhash64("text"))
-    order = Window.partitionBy("__bucket").orderBy(F.col("doc_id").asc_nulls_first(), "__text_key")
-    return dealt.withColumn("__pos", F.row_number().over(order)), list(range(bucket + 1))
+    return docs.withColumn("__bucket", F.element_at(table, cell + 1)).withColumn("__text_key", F.xxhash64("text")), list(range(bucket + 1))
 
 
 def edited_fingerprints(docs: DataFrame, low: float = 0.001, high: float = 0.1) -> DataFrame:
@@ -115,27 +128,28 @@ def edited_fingerprints(docs: DataFrame, low: float = 0.001, high: float = 0.1)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = lexicon(docs, low, high)
     placed, buckets = in_order(docs)
-    order = Window.partitionBy("__bucket").orderBy(F.col("doc_id").asc_nulls_first(), "__text_key")
     # the first row of every bucket: one text per bucket, of which there are a bounded number
-    lowest = docs.sparkSession.createDataFrame([(b, (b - 1) % len(buckets)) for b in buckets], "__first long, __before long")
+    befores = docs.sparkSession.createDataFrame([(b, (b - 1) % len(buckets)) for b in buckets], "__first int, __before int")
+    key = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "__text_key")
+    lowest = common.stored(placed.groupBy(F.col("__bucket").alias("__first")).agg(F.min(key).alias("__key")).join(F.broadcast(befores), "__first"), "bucket-keys")
     firsts = common.stored(
-        placed.where("__pos = 1").select(F.col("__bucket").cast("long").alias("__first"), F.col("text").alias("__first_text"))
-        .join(F.broadcast(lowest), "__first"), "bucket-firsts")
-    ahead = placed.withColumn("__lead", F.lead("text").over(order))
+        placed.withColumn("__key", key).join(F.broadcast(lowest), "__key").groupBy("__before").agg(F.max("text").alias("__first_text")), "bucket-firsts")
+    ahead = placed.withColumn("__pos", F.row_number().over(ORDER)).withColumn("__lead", F.lead("text").over(ORDER))
     following = F.coalesce("__lead", "__first_text", F.lit(""))
     n = F.length("text")
     m = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - m), F.substring(following, F.lit(1), m))
     both = (
-        ahead.join(F.broadcast(firsts.drop("__first")), F.col("__bucket") == F.col("__before"), "left")
+        ahead.join(F.broadcast(firsts), F.col("__bucket") == F.col("__before"), "left")
         .select("__bucket", "__pos", "doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
+        .withColumn("edited_sha256", F.sha2("edited", 256))
     )
-    of = lambda c, name: fingerprint(both.select("__bucket", "__pos", F.col(c).alias("text")), ["__bucket", "__pos"], known).withColumnRenamed("fingerprint", name)
-    facts = both.select("__bucket", "__pos", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    done = common.stored(facts.join(of("text", "fingerprint"), ["__bucket", "__pos"]).join(of("edited", "edited_fingerprint"), ["__bucket", "__pos"]), "fingerprints")
-    heads = done.where("__pos = 1").select(F.col("__bucket").cast("long").alias("__first"), F.col("fingerprint").alias("__head")).join(F.broadcast(lowest), "__first").drop("__first")
+    prints = fingerprint(both, ["__bucket", "__pos"], ["text", "edited"], ["doc_id", "n_chars", "edited_sha256"], known)
+    prints = prints.withColumnsRenamed({"text_print": "fingerprint", "edited_print": "edited_fingerprint"})
     after = Window.partitionBy("__bucket").orderBy("__pos")
-    out = done.withColumn("__next", F.lead("fingerprint").over(after)).join(F.broadcast(heads), F.col("__bucket") == F.col("__before"), "left")
+    done = common.stored(prints.withColumn("__next", F.lead("fingerprint").over(after)), "fingerprints")
+    heads = done.where("__pos = 1").select(F.col("__bucket").alias("__first"), F.col("fingerprint").alias("__head")).join(F.broadcast(befores), "__first").drop("__first")
+    out = done.join(F.broadcast(heads), F.col("__bucket") == F.col("__before"), "left")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
