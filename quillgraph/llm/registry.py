@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, quality, sharding, warc
+from . import fingerprints, licenses, mixing, pieces, quality, sharding, warc
 
 
 def queries():
     return {
         "op1_fingerprints": fingerprints.query,
+        "op2_licenses": licenses.query,
         "op5_sharding": sharding.query,
         "op7_warc": warc.query,
+        "op8_pieces": pieces.query,
         "op9_quality": quality.query,
         "op10_mixing": mixing.query,
     }
