@@ -49,13 +49,15 @@ class Codec:
     def __init__(self, model: dict):
         self.pieces, self.scores, self.bpe, self.unk = model["pieces"], model["scores"], model["bpe"], model["unk"]
         self.ids = {p: i for i, p in enumerate(self.pieces) if model["normal"][i]}
-        self.tails = {p[k:] for p in self.ids for k in range(len(p))}
+        # every end of a piece: 1 if it is a piece itself that merging can reach, else 0
+        self.tails = dict.fromkeys((p[k:] for p in self.ids for k in range(len(p))), 0)
+        self.tails.update((p, 1) for p in self.ids if not self.bpe or self.merged(p) == [p])
         self.byte_ids = {int(p[1:-1], 16): i for i, p in enumerate(self.pieces) if model["byte"][i]}
         self.least = min(self.scores[i] for i in self.ids.values()) - 10
         self.raw = [bytes([int(p[1:-1], 16)]) if model["byte"][i] else (p.replace(MARK, " ").encode() if model["normal"][i] else b" \xe2\x81\x87 " if i == self.unk else b"") for i, p in enumerate(self.pieces)]
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.own: dict[str, bool] = {}
+        self.fits: dict[tuple[str, str], bool] = {}  # of pairs of pieces
         self.cache: dict[str, array] = {}
+        self.older: dict[str, array] = {}
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging the best pair again and again: what the compatibility of pairs rests on."""
@@ -72,22 +74,15 @@ class Codec:
         return parts
 
     def compatible(self, a: str, b: str) -> bool:
-        found = self.fits.get((a, b))
-        if found is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            found = self.fits[a, b] = self.merged(a + b) == [a, b]
-        return found
-
-    def reachable(self, piece: str) -> bool:
-        found = self.own.get(piece)
-        if found is None:
-            found = self.own[piece] = self.merged(piece) == [piece]
+        """Whether a prefix that ends with piece ``a`` (empty: none) may go on with ``b``; kept in ``fits``."""
+        if len(self.fits) > 2_000_000:
+            self.fits.clear()
+        found = self.fits[a, b] = a not in self.ids or self.merged(a + b) == [a, b]
         return found
 
     def segment(self, words: list[str]) -> dict[str, list[str]]:
         """Pieces of each word; ``words`` are distinct. Walks the trie of the sorted words depth first."""
-        out, ids, tails, scores = {}, self.ids, self.tails, self.scores
+        out, ids, tails, scores, fits = {}, self.ids, self.tails, self.scores, self.fits
         last: list[str] = [""]  # the last piece of the prefix's best segmentation
         best: list[float] = [0.0]
         before = ""
@@ -99,26 +94,29 @@ class Codec:
                 shared += 1
             del last[shared + 1 :], best[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                char = word[end - 1]
-                pick, top = char, (best[end - 1] + (scores[ids[char]] if char in ids else self.least)) if not self.bpe else 0.0
                 start = end - 1
-                found = self.bpe and char in ids and (not last[start] or last[start] not in ids or self.compatible(last[start], char))
-                while start > 0 and not found:
-                    start -= 1
-                    piece = word[start:end]
-                    if piece not in tails:
-                        break
-                    i = ids.get(piece)
-                    if i is None:
-                        continue
-                    if self.bpe:
-                        prior = last[start]
-                        if self.reachable(piece) and (not prior or prior not in ids or self.compatible(prior, piece)):
-                            pick, found = piece, True
-                    elif (score := best[start] + scores[i]) > top:
-                        pick, top = piece, score
+                pick = piece = word[start]
+                if self.bpe:
+                    while (kind := tails.get(piece)) is not None:
+                        if kind:
+                            prior = last[start]
+                            found = fits.get((prior, piece))
+                            if found or found is None and self.compatible(prior, piece):
+                                pick = piece
+                                break
+                        if not start:
+                            break
+                        start -= 1
+                        piece = word[start:end]
+                else:
+                    top = best[start] + (scores[ids[pick]] if pick in ids else self.least)
+                    while start and word[start - 1 : end] in tails:
+                        start -= 1
+                        i = ids.get(word[start:end])
+                        if i is not None and (score := best[start] + scores[i]) > top:
+                            pick, top = word[start:end], score
+                    best.append(top)
                 last.append(pick)
-                best.append(top)
             end, parts = len(word), []
             while end:
                 parts.append(last[end])
@@ -128,7 +126,10 @@ class Codec:
         return out
 
     def to_ids(self, parts: list[str]) -> array:
-        out = array("i")
+        try:
+            return array("i", [self.ids[p] for p in parts])
+        except KeyError:
+            out = array("i")
         for p in parts:
             i = self.ids.get(p)
             if i is not None:
@@ -142,10 +143,14 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[array]:
         """Ids of whole texts (null or empty: none)."""
         split = [UNITS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.cache) > MOST_CACHED:
-            self.cache.clear()
-        cache = self.cache
-        fresh = {w for words in split for w in words} - cache.keys()
+        if len(self.cache) > MOST_CACHED:  # words met again since then move on to the new generation
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        fresh = set().union(*split) - cache.keys()
+        again = fresh & older.keys()
+        for w in again:
+            cache[w] = older[w]
+        fresh -= again
         for w, parts in self.segment(list(fresh)).items():
             cache[w] = self.to_ids(parts)
         out = []
