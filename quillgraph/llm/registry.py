@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprints, licenses, mixing, pieces, quality, sharding, warc
+from . import fingerprints, jaccard, licenses, mixing, pieces, quality, sharding, warc
 
 
 def queries():
     return {
         "op1_fingerprints": fingerprints.query,
         "op2_licenses": licenses.query,
+        "op4_jaccard": jaccard.query,
         "op5_sharding": sharding.query,
         "op7_warc": warc.query,
         "op8_pieces": pieces.query,
