@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard, licenses, mixing, pieces, quality, sharding, warc
+from . import fingerprints, jaccard, licenses, mixing, pieces, quality, sharding, suffixes, topk, warc
 
 
 def queries():
     return {
         "op1_fingerprints": fingerprints.query,
         "op2_licenses": licenses.query,
+        "op3_topk": topk.query,
         "op4_jaccard": jaccard.query,
         "op5_sharding": sharding.query,
+        "op6_suffixes": suffixes.query,
         "op7_warc": warc.query,
         "op8_pieces": pieces.query,
         "op9_quality": quality.query,
