@@ -1,8 +1,88 @@
-"""Corpus pipeline: five stages over ``documents``, each written as Parquet and read again."""
+"""Corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's input.
 
-STAGES = []
+Poor documents go; of near copies one document stays; long passages that repeat across documents are cut out; sources
+are mixed to target weights, whole epochs as repeated rows; what is left is encoded as pieces. The text operators
+themselves are general; the decisions are made here.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillgraph.llm import common, jaccard, mixing, pieces, quality, suffixes
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier keeps; columns and rows are otherwise left alone."""
+    return quality.classify(docs, common.table(spark, sf_dir, "labels")).where("keep").select(*COLUMNS)
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a shingle similarity of 0.8 or more (five words), the document with the least doc_id.
+
+    Texts without words link with nothing and stay. Of rows that share a doc_id the first by text stays.
+    """
+    groups = jaccard.join(docs, size=5, percent=80).where("doc_id = component_id OR doc_id IS NULL AND component_id IS NULL").select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(groups, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return kept.select(*COLUMNS)
+    return kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*COLUMNS)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 200 bytes or more that also stand elsewhere; every document stays a row.
+
+    A cut inside a character drops the rest of that character.
+    """
+    out = suffixes.dedup(docs.select(*COLUMNS))
+    text = F.when(F.col("text").isNull(), F.lit(None)).when(F.col("n_removed") == 0, F.col("text")).otherwise(whole_characters("kept"))
+    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+@F.pandas_udf("string")
+def whole_characters(kept):
+    return kept.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; the one at which a source meets its target is cut to the words wanted."""
+    mixed = mixing.mix(docs, mixing.label_quality(common.table(spark, sf_dir, "labels")))
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
+    left = (F.col("taken") - times * F.col("size")).cast("int")
+    whole = F.array_repeat(F.lit(-1), times)
+    copies = F.concat(whole, F.when((F.col("size") > 0) & (left > 0), F.array(left)).otherwise(F.array().cast("array<int>")))
+    rows = mixed.withColumn("__words", F.explode(copies))
+    cut = F.array_join(F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), common.GAP), 1, F.greatest(F.col("__words"), F.lit(1))), " ")
+    text = F.when(F.col("__words") < 0, F.col("text")).otherwise(cut)
+    return rows.withColumn("text", text).withColumn("n_chars", F.when(F.col("__words") < 0, F.col("n_chars")).otherwise(F.length("text"))).select(*COLUMNS)
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every row's whole text, with whether they decode to it."""
+    return pieces.encode(docs, pieces.load())
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_copies", near_copies_stage),
+    ("repeats", repeats_stage),
+    ("mixing", mixing_stage),
+    ("pieces", pieces_stage),
+]
+
+#: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = common.stored(docs, f"pipeline-{name}")
+    return docs
