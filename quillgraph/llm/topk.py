@@ -2,7 +2,8 @@
 
 Shards are indexed once, into a table in the shared folder. Queries then run in blocks of bounded size: the counts of
 their terms over all shards and the mean length give scores that don't depend on the shards, each shard returns its own
-best k, and the best k of these are the answer. Within a shard documents lie in blocks; a block's upper bound is the sum
+best k, and the best k of these are the answer. A sixteenth of the shards answers first; a query's k-th score there is
+a floor for the others, which return nothing below it. Within a shard documents lie in blocks; a block's upper bound is the sum
 of its terms' largest contributions (the WAND pivot test, made for all blocks at once), and blocks whose bound is below
 the k-th score so far are never scored.
 """
@@ -10,7 +11,6 @@ the k-th score so far are never scored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -97,8 +97,11 @@ class Shard:
             self.rows[r, self.docs[s]] = self.part[s]
         self.row_tops = self.rows.reshape(len(often), self.blocks, BLOCK).max(2) if len(often) else np.zeros((0, self.blocks))
 
-    def top(self, terms: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """The best k documents with a positive score, by (score descending, doc_id): exact."""
+    def top(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float = 0.0) -> list[tuple[int, float]]:
+        """The best k documents with a positive score of at least ``floor``, by (score descending, doc_id): exact.
+
+        Scores are rounded to 9 decimals, which hides the order of summation: copies tie wherever they are.
+        """
         at = np.searchsorted(self.terms, terms)
         at[at == len(self.terms)] = 0
         here = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), dtype=bool)
@@ -132,22 +135,49 @@ class Shard:
                     total += self.rows[r, where] * g
                 score[where] += total
 
+        if floor:
+            first = first[bound[first] * (1 + 1e-12) + 1e-9 >= floor]
+            if not len(first):
+                return []
         add(first)
         known = (first[:, None] * BLOCK + np.arange(BLOCK)).ravel()
         least = np.partition(score[known], -k)[-k] if len(known) >= k else 0.0
         rest = order[len(first) :]
-        rest = rest[bound[rest] * (1 + 1e-12) >= least]
+        rest = rest[bound[rest] * (1 + 1e-12) + 1e-9 >= max(least, floor)]
         if len(rest):
             add(rest)
             known = np.concatenate([known, (rest[:, None] * BLOCK + np.arange(BLOCK)).ravel()])
         known = known[(known < len(self.ids))]
-        known = known[score[known] > 0]
+        score = np.round(score, 9)
+        known = known[(score[known] > 0) & (score[known] >= floor)]
         if len(known) > k:
             known = known[score[known] >= np.partition(score[known], -k)[-k]]
         best = known[np.lexsort((self.ids[known], -score[known]))][:k]
         return list(zip(self.ids[best].tolist(), score[best].tolist(), strict=True))
 
 
+def _best(spark: SparkSession, asks: list, floor: dict[int, float], mean: float, k: int):
+    """A task's work: the best k of all its shards for each query of a block. The block's size is bounded by its terms."""
+    shared = spark.sparkContext.broadcast([(q, t, w, floor.get(q, 0.0)) for q, t, w in asks])
+
+    def work(batches):
+        held: dict[int, list[tuple[float, int]]] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard = Shard({c: batch.column(j)[i].as_buffer() for j, c in enumerate(COLUMNS)}, mean)
+                for q, t, w, least in shared.value:
+                    own = held.get(q, [])
+                    found = shard.top(t, w, k, max(least, -own[-1][0]) if len(own) == k else least)
+                    if found:
+                        held[q] = sorted([*own, *((-s, d) for d, s in found)])[:k]
+        rows = [(q, None if d == NO_ID else d, -s) for q, own in held.items() for s, d in own]
+        for at in range(0, len(rows), 50_000):
+            q, d, s = zip(*rows[at : at + 50_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "doc_id", "score"])
+
+    return work
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, block_terms: int = 1_000_000) -> DataFrame:
     """Best ``k`` of ``docs(doc_id, text)`` for each of ``queries(query_id, text)``: query_id, rank, doc_id, score.
 
@@ -204,18 +234,12 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, block_terms: int =
         counted = shards.select("terms", "starts").mapInArrow(held, "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).toPandas()
         df[counted["at"].to_numpy()] = counted["df"].to_numpy()
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        asks = spark.sparkContext.broadcast([(q, t, idf[np.searchsorted(every, t)]) for q, t in block])  # bounded by block_terms
-
-        def best(batches, asks=asks):
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    shard = Shard({c: batch.column(j)[i].as_buffer() for j, c in enumerate(COLUMNS)}, mean)
-                    out = [(q, d, s) for q, t, w in asks.value for d, s in shard.top(t, w, k)]
-                    if out:
-                        q, d, s = zip(*out, strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array([None if x == NO_ID else x for x in d], pa.int64()), pa.array(s)], names=["query_id", "doc_id", "score"])
-
-        parts.append(common.stored(shards.select(*COLUMNS).mapInArrow(best, schema), "topk-part"))
+        asks = [(q, t, idf[np.searchsorted(every, t)]) for q, t in block]
+        first = F.pmod(F.xxhash64("ids"), F.lit(16)) == 0
+        ahead = common.stored(shards.where(first).select(*COLUMNS).mapInArrow(_best(spark, asks, {}, mean, k), schema), "topk-part")
+        floors = ahead.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("at") == k).select("query_id", "score").toPandas()
+        floor = dict(zip(floors["query_id"].tolist(), floors["score"].tolist(), strict=True))
+        parts += [ahead, common.stored(shards.where(~first).select(*COLUMNS).mapInArrow(_best(spark, asks, floor, mean, k), schema), "topk-part")]
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
