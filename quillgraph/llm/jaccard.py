@@ -23,9 +23,7 @@ from . import common
 
 STEP = 1.6  # ratio of the size levels
 SPARE = 2  # empty groups that a set may have before they count as groups
-DIMS = 32  # coordinates that travel with blocks
-FINE = 64  # coordinates within hulls
-FULL = 65535
+FULL = 255  # coordinates are bytes; a full one bounds nothing
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -94,8 +92,21 @@ def signatures(x: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def counts(x: np.ndarray, dims: int) -> np.ndarray:
-    return np.minimum(np.bincount((_mix(x + _A) % np.uint64(dims)).astype(np.int64), minlength=dims), FULL).astype(np.int32)
+def dims_of(n: int) -> int:
+    """Coordinates of a set of n: with n / 4 or so, unlike sets of any size stay apart."""
+    return min(2048, 1 << max(5, ((n - 1) // 6).bit_length()))
+
+
+def counts(x: np.ndarray) -> np.ndarray:
+    dims = dims_of(len(x))
+    return np.minimum(np.bincount((_mix(x + _A) % np.uint64(dims)).astype(np.int64), minlength=dims), FULL).astype(np.uint8)
+
+
+def folded(points: list[np.ndarray]) -> np.ndarray:
+    """Points of unlike dimensions (powers of 2) as rows of the least: coordinates that fall together are added."""
+    dims = min(len(p) for p in points)
+    full = [p.reshape(-1, dims) for p in points]
+    return np.array([np.where((p == FULL).any(0), FULL, np.minimum(p.sum(0, dtype=np.int64), FULL)) for p in full], dtype=np.int32)
 
 
 class CountTree:
@@ -160,7 +171,7 @@ def bound_links(points: np.ndarray, sizes: np.ndarray, percent: int) -> list[tup
 def true_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Pairs that connect all sets that truly link (a forest of them): candidates by the tree, verified on the sets."""
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
-    points = np.array([counts(x, FINE) for x in sets])
+    points = folded([counts(x) for x in sets])
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
     starts = np.concatenate([[0], np.cumsum(sizes)])
     tree, union, out = CountTree(points, sizes, percent), Union(len(sets)), []
@@ -214,7 +225,7 @@ def _dealt(df: DataFrame, key: str, member: str, chunk: int) -> DataFrame:
     return each.withColumn("__deal", F.xxhash64(key, F.least("__own", "__other"), F.greatest("__own", "__other"))).drop("__m", "__c", "__own", "__other")
 
 
-def join(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 4000, most_broadcast: int = 400_000) -> DataFrame:
+def join(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 8000, most_broadcast: int = 400_000) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, n_shingles, component_id)``, one row for each row.
 
     Two documents link when 100 x intersection >= percent x union of their shingle sets; component_id is the smallest
@@ -235,7 +246,7 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 4000, m
                 n.append(len(x))
                 node.append(xxhash.xxh3_64_intdigest(x.tobytes(), seed=len(x)) - 2**63)
                 sigs.append(signatures(x, percent) if len(x) else np.empty(0, dtype=np.int64))
-                vecs.append(counts(x, DIMS).astype("<u2").tobytes())
+                vecs.append(counts(x).tobytes())
             at = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(sigs) if sigs else [], pa.int64())), pa.array(vecs, pa.binary())],
@@ -243,7 +254,6 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 4000, m
 
     known = common.stored(docs.mapInArrow(describe, "doc_id long, n long, node long, sigs array<long>, vec binary"), "jaccard-docs")
     nodes = known.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    unlike = known.where("size(sigs) > 0").groupBy("node").agg(F.first("sigs").alias("sigs"))
 
     def shared(batches):
         held, matched = None, False  # the last row so far, and whether its signature equals the one before
@@ -251,7 +261,9 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 4000, m
             if not len(pdf):
                 continue
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            k = pdf["sig"].to_numpy()
+            k, node = pdf["sig"].to_numpy(), pdf["node"].to_numpy()
+            new = np.r_[True, (k[1:] != k[:-1]) | (node[1:] != node[:-1])]  # copies have the same rows
+            pdf, k = pdf[new], k[new]
             same = k[1:] == k[:-1]
             out = np.r_[matched, same] | np.r_[same, False]
             yield pdf[:-1][out[:-1]]
@@ -259,24 +271,28 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 4000, m
         if matched:
             yield held
 
-    rows = unlike.select("node", F.explode("sigs").alias("sig")).repartition("sig").sortWithinPartitions("sig")
+    rows = known.select("node", F.explode("sigs").alias("sig")).repartition("sig").sortWithinPartitions("sig", "node")
     members = common.stored(rows.mapInPandas(shared, "node long, sig long"), "jaccard-blocks")
     points = known.groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec")).join(members.select("node").distinct(), "node", "left_semi")
-    blocks = _dealt(members.join(points, "node"), "sig", "node", 5 * chunk)
+    blocks = _dealt(members.join(points, "node"), "sig", "node", 2 * chunk)
 
     def hull_links(batches):
         for pdf in _runs(batches, "__deal"):
             cuts = _starts(pdf["__deal"].to_numpy())
-            vec = np.frombuffer(b"".join(pdf["vec"]), dtype="<u2").reshape(-1, DIMS).astype(np.int32)
-            n, node, out = pdf["n"].to_numpy(), pdf["node"].to_numpy(), []
-            long_ = np.diff(cuts)
-            i = cuts[:-1][long_ == 2]
-            both = np.minimum(vec[i], vec[i + 1])
-            ok = ((100 + percent) * both.sum(1, dtype=np.int64) >= percent * (n[i] + n[i + 1])) | (both == FULL).any(1)
-            ok &= 100 * np.minimum(n[i], n[i + 1]) >= percent * np.maximum(n[i], n[i + 1])
-            out.append((node[i[ok]], node[i[ok] + 1]))
-            for a, b in zip(cuts[:-1][long_ > 2], cuts[1:][long_ > 2], strict=True):
-                found = bound_links(vec[a:b], n[a:b], percent)
+            vec, n, node = [np.frombuffer(v, dtype=np.uint8) for v in pdf["vec"]], pdf["n"].to_numpy(), pdf["node"].to_numpy()
+            dims, many, out = np.array([len(v) for v in vec]), np.diff(cuts), [(node[:0], node[:0])]
+            two = cuts[:-1][many == 2]
+            for d in np.unique(dims[two]):
+                i = two[(dims[two] == d) & (dims[two + 1] == d)]
+                if not len(i):
+                    continue
+                both = np.minimum(np.array([vec[j] for j in i]), np.array([vec[j + 1] for j in i]))
+                ok = ((100 + percent) * both.sum(1, dtype=np.int64) >= percent * (n[i] + n[i + 1])) | (both == FULL).any(1)
+                ok &= 100 * np.minimum(n[i], n[i + 1]) >= percent * np.maximum(n[i], n[i + 1])
+                out.append((node[i[ok]], node[i[ok] + 1]))
+            rest = (many > 2) | ((many == 2) & (dims[cuts[:-1]] != dims[np.minimum(cuts[:-1] + 1, len(dims) - 1)]))
+            for a, b in zip(cuts[:-1][rest], cuts[1:][rest], strict=True):
+                found = bound_links(folded(vec[a:b]), n[a:b], percent)
                 if found:
                     x = np.array(found)
                     out.append((node[a:b][x[:, 0]], node[a:b][x[:, 1]]))
