@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Language by file extension.
@@ -44,10 +45,11 @@ def segment_count(x) -> Column:
 
 
 def version_only(a, b) -> Column:
-    """Whether two paths differ only in segments like v1 and v2."""
-    x, y = segments(a), segments(b)
-    bad = F.zip_with(x, y, lambda p, q: (p != q) & ~(p.rlike("^v[0-9]+$") & q.rlike("^v[0-9]+$")))
-    return (F.size(x) == F.size(y)) & ~F.exists(bad, lambda v: v)
+    """Whether two paths differ in one segment only, by versions like v1 and v2."""
+    x, y = F.split(_c(a), "/"), F.split(_c(b), "/")
+    differs = F.filter(F.zip_with(x, y, lambda p, q: F.struct(p.alias("p"), q.alias("q"))), lambda v: ~v["p"].eqNullSafe(v["q"]))
+    one = F.get(differs, F.lit(0))
+    return (F.size(x) == F.size(y)) & (F.size(differs) == 1) & F.coalesce(one["p"].rlike("^v[0-9]+$") & one["q"].rlike("^v[0-9]+$"), F.lit(False))
 
 
 def extension(file) -> Column:
@@ -93,7 +95,7 @@ def estimated_tokens(x) -> Column:
     return F.floor(plain / 4) + F.floor((F.length(_c(x)) - plain) / 2) + 1
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def byte_levenshtein(a, b):
     """Edit distance over UTF-8 bytes, for texts beyond ASCII."""
     import pandas as pd

@@ -290,7 +290,7 @@ _PATHS = "regexp_extract(url, '^[a-z]+://[^/]+(/.*)$', 1)"
 @query(f"""WITH p AS (SELECT {_PATHS} AS path, url AS file FROM pages), u AS (SELECT path, min(file) AS lo, max(file) AS hi FROM p WHERE len([x FOR x IN string_split(path, '/') IF x <> '']) >= 2 GROUP BY 1)
 SELECT a.path, b.path AS other, levenshtein(a.path, b.path)::INT AS distance FROM u a JOIN u b ON a.path < b.path AND abs(length(a.path) - length(b.path)) <= 2
 WHERE levenshtein(a.path, b.path) BETWEEN 1 AND 2 AND abs(length(a.path) - length(b.path)) * 5 <= greatest(length(a.path), length(b.path)) AND NOT (a.lo = a.hi AND b.lo = b.hi AND a.lo = b.lo)
-AND NOT (len(string_split(a.path, '/')) = len(string_split(b.path, '/')) AND len([x FOR x IN list_zip(string_split(a.path, '/'), string_split(b.path, '/')) IF x[1] <> x[2] AND NOT (regexp_matches(x[1], '^v[0-9]+$') AND regexp_matches(x[2], '^v[0-9]+$'))]) = 0)""")
+AND NOT (len(string_split(a.path, '/')) = len(string_split(b.path, '/')) AND len([x FOR x IN list_zip(string_split(a.path, '/'), string_split(b.path, '/')) IF x[1] <> x[2] AND NOT (regexp_matches(x[1], '^v[0-9]+$') AND regexp_matches(x[2], '^v[0-9]+$'))]) = 0 AND len([x FOR x IN list_zip(string_split(a.path, '/'), string_split(b.path, '/')) IF x[1] <> x[2]]) = 1)""")
 def near_miss_paths(spark, d):
     p = table(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://[^/]+(/.*)$", 1).alias("path"), F.col("url").alias("file"))
     return A.near_paths(p)
