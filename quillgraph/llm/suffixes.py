@@ -10,8 +10,8 @@ equal, to the left and right of the anchor, is then decided offset by offset.
 
 from __future__ import annotations
 
-import hashlib
 import struct
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import common
 
 GRAM = 32  # bytes of an anchor's k-gram; windows are longer
-RUN = 50_000  # suffixes of a run
+RUN = 30_000  # suffixes of a run
 _RNG = np.random.default_rng(20240229)
 _TABLE = _RNG.integers(0, 2**32, 256, dtype=np.uint32)
 _SALT = _RNG.integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -154,9 +154,10 @@ def merge(blobs: list[bytes]):
             node >>= 1
 
 
-def covered(groups: np.ndarray, lefts: list[bytes], rights: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+def covered(groups: np.ndarray, lefts: list[bytes], rights: list[bytes], times: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For members of groups (equal, neighbouring numbers) that share an anchor: least and greatest offset of the anchor
-    in a window that another member of the group has too; -1 if none. All windows of an anchor overlap."""
+    in a window that another member has too; -1 if none. All windows of an anchor overlap. A member stands for
+    ``times`` places of equal surroundings; of several, every window repeats."""
     m, reach = len(groups), length - GRAM
     left_len, right_len = np.array([len(x) for x in lefts]), np.array([len(x) for x in rights])
     flat = b"".join(x.rjust(reach, b"\0") + y.ljust(length, b"\0") for x, y in zip(lefts, rights, strict=True))
@@ -182,6 +183,7 @@ def covered(groups: np.ndarray, lefts: list[bytes], rights: list[bytes], length:
             order = np.argsort(full)
             same = full[order][1:] == full[order][:-1]
             dup[some[order]] = np.r_[False, same] | np.r_[same, False]
+        dup |= valid & (times > 1)
         high[dup] = o
         low[dup & (low < 0)] = o
     return low, high
@@ -267,31 +269,46 @@ def repeats(docs: DataFrame, length: int = 200, per_range: int = 60_000) -> Data
     def merged(batches):
         def spans(blobs):
             group, last = 0, None
-            out = ([], [], [], [], [])
+            own: dict[tuple[bytes, bytes], int] = {}  # this group's unlike surroundings
+            kept = ([], [], [])  # of all groups held: group, left, right
+            times, member, text, pos = array("q"), array("q"), array("q"), array("q")
+
+            def close():
+                if len(member) and len(own) == 1 and times[-1] == 1:  # alone
+                    for c in (*kept, times, member, text, pos):
+                        c.pop()
+
             for x in merge(blobs):
                 if last is None or x[0] < GRAM:
-                    if len(out[0]) > 1 and out[0][-1] != out[0][-2] or len(out[0]) == 1:
-                        for c in out:
-                            c.pop()
-                    if len(out[0]) > 20_000:
-                        yield found(*out)
-                        out = ([], [], [], [], [])
+                    close()
+                    own.clear()
                     group += 1
-                elif last[3:] == x[3:] and last[1] == x[1]:
+                    if len(kept[0]) > 10_000 or len(member) > 500_000:
+                        yield found(kept, times, member, text, pos)
+                        kept, times, member, text, pos = ([], [], []), array("q"), array("q"), array("q"), array("q")
+                elif last[3:] == x[3:]:
                     continue
                 last = x
-                for c, v in zip(out, (group, x[2], x[1], x[3], x[4]), strict=True):
-                    c.append(v)
-            if len(out[0]) > 1 and out[0][-1] != out[0][-2] or len(out[0]) == 1:
-                for c in out:
-                    c.pop()
-            if out[0]:
-                yield found(*out)
-
-        def found(group, lefts, rights, text, pos):
-            low, high = covered(np.array(group), lefts, rights, length)
-            pos, keep = np.array(pos), high >= 0
-            return pa.RecordBatch.from_arrays([pa.array(np.array(text)[keep], pa.int64()), pa.array((pos - high)[keep], pa.int64()), pa.array((pos - low + length)[keep], pa.int64())], names=["text_key", "start", "end"])
+                at = own.get((x[1], x[2]))
+                if at is None:
+                    at = own[x[1], x[2]] = len(times)
+                    for c, v in zip(kept, (group, x[2], x[1]), strict=True):
+                        c.append(v)
+                    times.append(0)
+                times[at] += 1
+                member.append(at)
+                text.append(x[3])
+                pos.append(x[4])
+            close()
+            if len(member):
+                yield found(kept, times, member, text, pos)
+
+        def found(kept, times, member, text, pos):
+            low, high = covered(np.array(kept[0]), kept[1], kept[2], np.frombuffer(times, dtype=np.int64), length)
+            at, place = np.frombuffer(member, dtype=np.int64), np.frombuffer(pos, dtype=np.int64)
+            keep = high[at] >= 0
+            out = (np.frombuffer(text, dtype=np.int64)[keep], (place - high[at])[keep], (place - low[at] + length)[keep])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["text_key", "start", "end"])
 
         part, blobs = None, []
         for batch in batches:
@@ -304,7 +321,10 @@ def repeats(docs: DataFrame, length: int = 200, per_range: int = 60_000) -> Data
         if blobs:
             yield from spans(blobs)
 
-    return runs.repartition(max(1, len(cuts) + 1), "part").sortWithinPartitions("part").mapInArrow(merged, "text_key long, start long, end long")
+    out = runs.repartition(max(1, len(cuts) + 1), "part").sortWithinPartitions("part").mapInArrow(merged, "text_key long, start long, end long")
+    out = common.stored(out, "suffix-spans")
+    common.drop(held)
+    return out
 
 
 def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -317,7 +337,7 @@ def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
     """
     keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
     slim = keyed.select(F.col("__key").alias("text_key"), "text")
-    spans = common.stored(repeats(slim, length), "suffix-spans").groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    spans = repeats(slim, length).groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     copies = keyed.where(F.octet_length("text") >= length).groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("__key").alias("text_key"), F.lit(True).alias("copied"))
     known = spans.join(copies, "text_key", "full").withColumnsRenamed({"text_key": "__text", "spans": "__spans", "copied": "__copied"})
     names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
