@@ -9,7 +9,7 @@ bucket in which the target is reached.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -39,47 +39,65 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     return holds.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix", share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Adds ``size``, ``source_size``, ``target`` and ``taken`` to ``docs(doc_id, text, source, ...)``.
+def decide(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix", share: float = 1.5, most: float = 2.0, most_broadcast: int = 200_000) -> DataFrame:
+    """What the mix takes of each row of ``docs(doc_id, text, source, ...)``: doc_id, size, source_size, target, taken and
+    two hashes of the row (``__a``, ``__b``). Texts are scanned once and never shuffled.
 
     size: words of the text (null: 0). taken: words that the mix takes of the document, repeats counted; the document
     at which a target is reached gives the words still wanted, so every source meets its target to a word.
     ``quality(doc_id, weight)`` scales the keys (default 1); of several weights of a doc_id the largest counts.
     Sources may be null; documents without words take nothing; repeated rows are told apart by their text and, if all
-    is equal, take the same. An empty table gives an empty result. Extra columns are kept.
+    is equal, by nothing, so which of them is taken doesn't matter. An empty table gives an empty result.
     """
-    size = common.word_count("text")
     unit = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     uniform = (F.conv(F.substring(unit, 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
-    sized = docs.withColumns({"size": size, "__unit": uniform, "__tie": F.xxhash64("text")})
+    slim = docs.select("doc_id", "source", common.word_count("text").alias("size"), uniform.alias("__unit"), *row_hashes())
     if quality is not None:
         best = quality.groupBy(F.col("doc_id").alias("__id")).agg(F.max("weight").alias("__quality"))
-        sized = sized.join(best, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+        slim = slim.join(best, F.col("doc_id") == F.col("__id"), "left").drop("__id")
     else:
-        sized = sized.withColumn("__quality", F.lit(1.0))
-    key = -F.log("__unit") / F.coalesce(F.col("__quality"), F.lit(1.0))
-    sized = sized.withColumn("__key", key).withColumn("__bucket", F.floor((1 - F.exp(-F.col("__key"))) * BUCKETS).cast("int"))
+        slim = slim.withColumn("__quality", F.lit(1.0))
+    slim = slim.withColumn("__key", -F.log("__unit") / F.coalesce(F.col("__quality"), F.lit(1.0)))
+    sized = common.stored(slim.withColumn("__bucket", F.floor((1 - F.exp(-F.col("__key"))) * BUCKETS).cast("int")).drop("__unit", "__quality"), "mix-sizes")
 
     buckets = sized.groupBy("source", "__bucket").agg(F.sum("size").alias("__size"))
     sources = source_targets(buckets.groupBy("source").agg(F.sum("__size").alias("source_size")), share, most)
     along = Window.partitionBy("source").orderBy("__bucket")
     state = (
-        buckets.withColumn("__before", F.sum("__size").over(along.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("__before", F.coalesce(F.col("__before"), F.lit(0)))
+        buckets.withColumn("__before", F.coalesce(F.sum("__size").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .join(sources.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
         .withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("__rest", F.round(F.col("target") - F.col("__epochs") * F.col("source_size")).cast("long"))
         .withColumn("__crosses", (F.col("__before") < F.col("__rest")) & (F.col("__rest") < F.col("__before") + F.col("__size")))
         .select(F.col("source").alias("__source"), F.col("__bucket").alias("__b"), "__before", "__size", "source_size", "target", "__epochs", "__rest", "__crosses")
     )
-    joined = sized.join(state, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__bucket") == F.col("__b")))
+    state = common.stored(state.withColumnRenamed("__b", "__of_bucket"), "mix-buckets")  # at most BUCKETS rows a source
+    near = F.broadcast(state) if state.count() <= most_broadcast else state
+    joined = sized.join(near, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__bucket") == F.col("__of_bucket")))
     whole = joined.where(~F.col("__crosses")).withColumn(
         "taken", F.col("size") * (F.col("__epochs") + F.when(F.col("__before") + F.col("__size") <= F.col("__rest"), 1).otherwise(0)))
-    in_bucket = Window.partitionBy("source", "__bucket").orderBy("__key", "doc_id", "__tie").rowsBetween(Window.unboundedPreceding, -1)
+    in_bucket = Window.partitionBy("source", "__bucket").orderBy("__key", "doc_id", "__a").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("__rest") - F.col("__before") - F.coalesce(F.sum("size").over(in_bucket), F.lit(0))
     cut = joined.where("__crosses").withColumn("taken", F.col("size") * F.col("__epochs") + F.greatest(F.lit(0), F.least(F.col("size"), left)))
-    out = whole.unionByName(cut)
-    return out.drop(*[c for c in out.columns if c.startswith("__")]).withColumn("taken", F.col("taken").cast("long"))
+    return whole.unionByName(cut).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "__a", "__b")
+
+
+def row_hashes() -> list[Column]:
+    """96 bits that identify a row by its doc_id and text."""
+    return [F.xxhash64("doc_id", "text").alias("__a"), F.hash("text", "doc_id").alias("__b")]
+
+
+def mix(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
+    """``docs`` with ``size``, ``source_size``, ``target`` and ``taken`` (see ``decide``); texts are shuffled once.
+
+    Extra columns are kept; of names that clash with added ones, the added column wins.
+    """
+    added = ["size", "source_size", "target", "taken"]
+    made = decide(docs, quality, **options).groupBy("__a", "__b").agg(F.array_sort(F.collect_list(F.struct(*added))).alias("__made"))
+    rows = docs.drop(*[c for c in added if c in docs.columns]).select("*", *row_hashes())
+    nth = F.row_number().over(Window.partitionBy("__a", "__b").orderBy(F.lit(1)))
+    out = rows.join(made, ["__a", "__b"]).withColumn("__one", F.element_at("__made", nth))
+    return out.select("*", "__one.*").drop("__a", "__b", "__made", "__one")
 
 
 def label_quality(labels: DataFrame) -> DataFrame:
@@ -89,5 +107,5 @@ def label_quality(labels: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = mix(docs, label_quality(common.table(spark, sf_dir, "labels")))
+    out = decide(docs, label_quality(common.table(spark, sf_dir, "labels")))
     return out.select("doc_id", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", "taken")
