@@ -37,7 +37,7 @@ class Words(dict):
     """Hashes of words, bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -317,7 +317,9 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 8000, m
             yield out.filter(pa.array([r == x for r, x in zip(right, batch.column(1).to_pylist(), strict=True)], pa.bool_()))
 
     sets = texts.select("text", "node", "hull").mapInArrow(sets_of, "node long, hull long, set array<long>")
-    dealt = _dealt(common.stored(sets, "jaccard-sets"), "hull", "node", chunk)
+    sets = common.stored(sets, "jaccard-sets")
+    common.drop(members, chosen)
+    dealt = _dealt(sets, "hull", "node", chunk)
 
     def links(batches):
         for pdf in _runs(batches, "__deal"):
@@ -329,6 +331,7 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 8000, m
 
     edges = dealt.select("__deal", "node", "set").repartition("__deal").sortWithinPartitions("__deal").mapInPandas(links, "a long, b long")
     parts = common.components(edges, "jaccard-links")
+    common.drop(sets)
     named = nodes.join(parts, nodes["node"] == parts["id"], "left").select("node", "rep", F.coalesce("component", "node").alias("part"))
     named = common.stored(named, "jaccard-named")
     least = named.groupBy("part").agg(F.min("rep").alias("component_id"))
