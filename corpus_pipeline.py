@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillgraph.llm import common, jaccard, mixing, pieces, quality, suffixes
 
@@ -44,7 +45,7 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def whole_characters(kept):
     return kept.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
 

@@ -16,7 +16,10 @@ from . import common
 #: (one slice has 1/density of the lexicon, number of slices)
 TIERS = ((16, 16), (128, 24), (1024, 24))
 EMPTY = "-"
-ORDER = Window.partitionBy("__bucket").orderBy(F.col("doc_id").asc_nulls_first(), "__text_key")
+
+
+def _order():
+    return Window.partitionBy("__bucket").orderBy(F.col("doc_id").asc_nulls_first(), "__text_key")
 
 
 def terms_of(text: Column) -> Column:
@@ -134,7 +137,7 @@ def edited_fingerprints(docs: DataFrame, low: float = 0.001, high: float = 0.1)
     lowest = common.stored(placed.groupBy(F.col("__bucket").alias("__first")).agg(F.min(key).alias("__key")).join(F.broadcast(befores), "__first"), "bucket-keys")
     firsts = common.stored(
         placed.withColumn("__key", key).join(F.broadcast(lowest), "__key").groupBy("__before").agg(F.max("text").alias("__first_text")), "bucket-firsts")
-    ahead = placed.withColumn("__pos", F.row_number().over(ORDER)).withColumn("__lead", F.lead("text").over(ORDER))
+    ahead = placed.withColumn("__pos", F.row_number().over(_order())).withColumn("__lead", F.lead("text").over(_order()))
     following = F.coalesce("__lead", "__first_text", F.lit(""))
     n = F.length("text")
     m = F.floor(n / 4).cast("int")

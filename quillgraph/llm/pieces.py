@@ -75,7 +75,7 @@ class Codec:
 
     def compatible(self, a: str, b: str) -> bool:
         """Whether a prefix that ends with piece ``a`` (empty: none) may go on with ``b``; kept in ``fits``."""
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) > 400_000:
             self.fits.clear()
         found = self.fits[a, b] = a not in self.ids or self.merged(a + b) == [a, b]
         return found
