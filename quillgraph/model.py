@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,13 +83,21 @@ def current_confidence() -> Column:
     return origin_base() * F.pow(F.lit(STALE_DECAY), F.col("stale_evidence_count"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for the driver and all executors; a temporary one only if it names none."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="quillgraph-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Cut lineage by a checkpoint in the shared folder that the session names; a temporary one only if it names none."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillgraph-"))
-    return df.checkpoint()
+    """Cut lineage by a table in the shared folder. Unlike a checkpoint its size is known, so a small frontier is
+    broadcast by Spark's own check and the edges aren't shuffled for it."""
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def impact_edges(graph: CodeGraph) -> DataFrame:

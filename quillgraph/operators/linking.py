@@ -21,14 +21,26 @@ def candidates(refs: DataFrame, defs: DataFrame) -> DataFrame:
     """Definitions a reference means: ``refs(ref_id, name, file)``, ``defs(id, name, file)``.
 
     All of the same file; else the only one of the same directory; else the only one at all.
+
+    The second and third rule need only counts and least and greatest ids of definitions, so a name that many share costs
+    a row for each reference, not one for each pair. ``ref_id`` and ``id`` are unique; a reference never means itself.
     """
-    folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")
-    j = refs.join(defs.select("id", "name", F.col("file").alias("def_file")), "name").where("ref_id <> id")
-    j = j.withColumn("same_file", F.col("file") == F.col("def_file")).withColumn("same_dir", folder("file") == folder("def_file"))
-    w = Window.partitionBy("ref_id")
-    j = j.withColumns({"n_file": F.sum(F.col("same_file").cast("int")).over(w), "n_dir": F.sum(F.col("same_dir").cast("int")).over(w), "n": F.count("*").over(w)})
-    pick = F.when(F.col("n_file") > 0, F.col("same_file")).when(F.col("n_dir") == 1, F.col("same_dir")).otherwise(F.col("n") == 1)
-    return j.where(pick).select("ref_id", "id", F.when(F.col("n_file") > 0, "same_file").when(F.col("n_dir") == 1, "same_dir").otherwise("only").alias("rule"))
+    refs, defs = (df.withColumn("folder", F.regexp_replace("file", "/[^/]*$", "")) for df in (refs.select("ref_id", "name", "file"), defs.select("id", "name", "file")))
+    known = refs
+    for level, keys in (("file_", ["name", "file"]), ("dir", ["name", "folder"]), ("all", ["name"])):
+        known = known.join(defs.groupBy(*keys).agg(F.struct(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).alias(level)), keys, "left")
+
+    def one(level: str):
+        n, lo, hi = (F.col(level)[c] for c in ("n", "lo", "hi"))
+        mine_lo, mine_hi = lo == F.col("ref_id"), hi == F.col("ref_id")
+        return F.when((n == 1) & ~mine_lo, lo).when((n == 2) & mine_lo & ~mine_hi, hi).when((n == 2) & mine_hi & ~mine_lo, lo)
+
+    in_file = F.coalesce((F.col("file_")["lo"] != F.col("ref_id")) | (F.col("file_")["hi"] != F.col("ref_id")), F.lit(False))
+    known = known.withColumns({"in_dir": one("dir"), "in_all": one("all")})
+    far = known.where(~in_file & F.coalesce("in_dir", "in_all").isNotNull())
+    far = far.select("ref_id", F.coalesce("in_dir", "in_all").alias("id"), F.when(F.col("in_dir").isNotNull(), "same_dir").otherwise("only").alias("rule"))
+    near = refs.join(defs.select("id", "name", "file"), ["name", "file"]).where("ref_id <> id").select("ref_id", "id", F.lit("same_file").alias("rule"))
+    return near.unionByName(far)
 
 
 def enclosing(refs: DataFrame, nodes: DataFrame, width: int = 1024) -> DataFrame:

@@ -9,7 +9,11 @@ from ..model import CodeGraph, current_confidence, impact_edges, priority, settl
 
 
 def reach(seeds: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
-    """Breadth-first: ``seeds(seed, id)`` and ``steps(src, dst)`` -> ``(seed, id, depth)``, the seed itself at depth 0."""
+    """Breadth-first: ``seeds(seed, id)`` and ``steps(src, dst)`` -> ``(seed, id, depth)``, the seed itself at depth 0.
+
+    Steps are settled once, so a round scans them instead of deriving them anew; repeated ones do no harm.
+    """
+    steps = settled(steps) if depth > 1 else steps
     seen = settled(seeds.select("seed", "id").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for d in range(1, depth + 1):
@@ -22,12 +26,12 @@ def reach(seeds: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
 
 
 def incoming(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst")).distinct()
+    return edges.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
     out = edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
-    return out.union(out.select("dst", "src")).distinct()
+    return out.union(out.select("dst", "src"))
 
 
 def impact_cone(graph: CodeGraph, seeds: DataFrame, depth: int = 3) -> DataFrame:
@@ -51,7 +55,7 @@ def risk_cone(graph: CodeGraph, seeds: DataFrame, depth: int = 3) -> DataFrame:
 
     Only nodes improved in a round are expanded in the next; of equal products the shorter walk counts.
     """
-    e = impact_edges(graph).withColumn("c", current_confidence()).groupBy("to_id", "from_id").agg(F.max("c").alias("c"))
+    e = settled(impact_edges(graph).withColumn("c", current_confidence()).groupBy("to_id", "from_id").agg(F.max("c").alias("c")))
     best = settled(seeds.select("seed", "id").distinct().withColumn("conf", F.lit(1.0)).withColumn("dist", F.lit(0)))
     front = best
     for d in range(1, depth + 1):
@@ -70,7 +74,7 @@ def neighborhood(graph: CodeGraph, seeds: DataFrame, depth: int = 3, min_confide
     parts = []
     for way, src, dst in (("incoming", "to_id", "from_id"), ("outgoing", "from_id", "to_id")):
         if direction in ("both", way):
-            at = reach(seeds, e.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct(), depth - 1)
+            at = reach(seeds, e.select(F.col(src).alias("src"), F.col(dst).alias("dst")), depth - 1)
             parts.append(at.join(e, F.col("id") == F.col(src)).select("seed", F.lit(way).alias("direction"), (F.col("depth") + 1).alias("depth"), "from_id", "to_id", "kind", "origin", "confidence"))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
@@ -80,7 +84,7 @@ def shortest_path(edges: DataFrame, pairs: DataFrame, most: int = 10) -> DataFra
 
     Of paths of equal length the one through the smallest ids, nearest to ``a`` first, is returned.
     """
-    steps = both_ways(edges)
+    steps = settled(both_ways(edges))
     seeds = pairs.select(F.col("a").alias("seed"), F.col("a").alias("id")).distinct()
     seen = settled(seeds.withColumn("depth", F.lit(0)).withColumn("path", F.array("id")))
     front = seen

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..model import CodeGraph, register, stored_confidence
+from ..model import CodeGraph, register, settled, stored_confidence
+from ..operators.linking import drop_dangling
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
@@ -49,12 +50,34 @@ e AS (SELECT e.*, CAST({_KIND} AS FLOAT) * CAST({_ORIGIN} AS FLOAT) AS conf, CAS
 """
 
 
+_SNAPSHOTS: dict[tuple[str, str], tuple[list, CodeGraph]] = {}
+
+
+def file_states(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
+    """Length and last change of each table's files."""
+    context, out = spark.sparkContext, []
+    for name in TABLES:
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(path)
+        out.append((sum(f.getLen() for f in files), max((f.getModificationTime() for f in files), default=0)))
+    return out
+
+
 def graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
-    from ..operators.linking import drop_dangling
+    """The graph of a folder's tables, built once a session as a snapshot and again when a table's files change."""
+    key, now = (spark.sparkContext.applicationId, sf_dir), file_states(spark, sf_dir)
+    if key not in _SNAPSHOTS or _SNAPSHOTS[key][0] != now:
+        built = build(spark, sf_dir)
+        nodes = settled(built.nodes)
+        _SNAPSHOTS[key] = now, CodeGraph(nodes, settled(drop_dangling(built.edges, nodes)))
+    kept = _SNAPSHOTS[key][1]
+    return CodeGraph(kept.nodes, kept.edges)
+
 
+def build(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    """Nodes and edges as derived from the tables, edges without a node at either end included."""
     register(spark, sf_dir, TABLES)
     spark.sql(NODES).createOrReplaceTempView("raw_nodes")
-    nodes = spark.sql(FILED)
     edges = spark.sql(EDGES).withColumnRenamed("stale", "stale_evidence_count").withColumn("confidence", stored_confidence())
     edges = edges.withColumn("evidence_file", F.lit("")).withColumn("created_at_epoch", F.lit(0).cast("long"))
-    return CodeGraph(nodes, drop_dangling(edges, nodes))
+    return CodeGraph(spark.sql(FILED), edges)
