@@ -200,11 +200,10 @@ def _runs(batches, key: str):
             continue
         held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
         k = held[key].to_numpy()
-        first = int(np.searchsorted(k != k[-1], False)) if k[0] != k[-1] else 0
-        if first:
-            last = np.flatnonzero(k != k[-1])[-1] + 1
-            yield held.iloc[:last]
-            held = held.iloc[last:].reset_index(drop=True)
+        last = np.flatnonzero(k != k[-1])
+        if len(last):
+            yield held.iloc[: last[-1] + 1]
+            held = held.iloc[last[-1] + 1 :].reset_index(drop=True)
     if held is not None and len(held):
         yield held
 
