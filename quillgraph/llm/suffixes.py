@@ -16,6 +16,7 @@ from array import array
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,17 +155,19 @@ def merge(blobs: list[bytes]):
             node >>= 1
 
 
-def covered(groups: np.ndarray, lefts: list[bytes], rights: list[bytes], times: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def covered(groups: np.ndarray, around: np.ndarray, left_len: np.ndarray, right_len: np.ndarray, times: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For members of groups (equal, neighbouring numbers) that share an anchor: least and greatest offset of the anchor
     in a window that another member has too; -1 if none. All windows of an anchor overlap. A member stands for
-    ``times`` places of equal surroundings; of several, every window repeats."""
+    ``times`` places of equal surroundings; of several, every window repeats. ``around`` has a row of bytes for each
+    member: what is left of the anchor, padded at its left, and the suffix, padded at its right."""
     m, reach = len(groups), length - GRAM
-    left_len, right_len = np.array([len(x) for x in lefts]), np.array([len(x) for x in rights])
-    flat = b"".join(x.rjust(reach, b"\0") + y.ljust(length, b"\0") for x, y in zip(lefts, rights, strict=True))
-    columns = np.ascontiguousarray(np.frombuffer(flat, dtype=np.uint8).reshape(m, reach + length).T)
+
+    def column(c: int) -> np.ndarray:
+        return around[:, c].astype(np.uint64) * _SALT[c]
+
     h = np.zeros(m, dtype=np.uint64)
     for c in range(reach, reach + length):
-        h += columns[c].astype(np.uint64) * _SALT[c]
+        h += column(c)
     mark = groups.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     sizes = np.diff(np.r_[first, m])
@@ -172,7 +175,8 @@ def covered(groups: np.ndarray, lefts: list[bytes], rights: list[bytes], times:
     low, high = np.full(m, -1), np.full(m, -1)
     for o in range(reach + 1):
         if o:
-            h += columns[reach - o].astype(np.uint64) * _SALT[reach - o] - columns[reach + length - o].astype(np.uint64) * _SALT[reach + length - o]
+            h += column(reach - o)
+            h -= column(reach + length - o)
         valid = (left_len >= o) & (right_len >= length - o)
         dup = np.zeros(m, dtype=bool)
         dup[twos] = (h[twos] == h[twos + 1]) & valid[twos] & valid[twos + 1]
@@ -269,46 +273,54 @@ def repeats(docs: DataFrame, length: int = 200, per_range: int = 60_000) -> Data
     def merged(batches):
         def spans(blobs):
             group, last = 0, None
-            own: dict[tuple[bytes, bytes], int] = {}  # this group's unlike surroundings
-            kept = ([], [], [])  # of all groups held: group, left, right
-            times, member, text, pos = array("q"), array("q"), array("q"), array("q")
+            own: dict[bytes, int] = {}  # 128-bit hashes of this group's unlike surroundings
+            around = bytearray()  # of all members held, a row each
+            groups, lefts, rights, times = array("q"), array("q"), array("q"), array("q")
+            member, text, pos = array("q"), array("q"), array("q")
+            width = reach + length
 
             def close():
                 if len(member) and len(own) == 1 and times[-1] == 1:  # alone
-                    for c in (*kept, times, member, text, pos):
+                    for c in (groups, lefts, rights, times, member, text, pos):
                         c.pop()
+                    del around[-width:]
+
+            def found():
+                whole = np.frombuffer(around, dtype=np.uint8).reshape(-1, width)
+                low, high = covered(np.array(groups), whole, np.array(lefts), np.array(rights), np.array(times), length)
+                at, place = np.array(member), np.array(pos)
+                keep = high[at] >= 0
+                out = (np.array(text)[keep], (place - high[at])[keep], (place - low[at] + length)[keep])
+                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["text_key", "start", "end"])
 
             for x in merge(blobs):
                 if last is None or x[0] < GRAM:
                     close()
                     own.clear()
                     group += 1
-                    if len(kept[0]) > 10_000 or len(member) > 500_000:
-                        yield found(kept, times, member, text, pos)
-                        kept, times, member, text, pos = ([], [], []), array("q"), array("q"), array("q"), array("q")
+                    if len(times) > 10_000 or len(member) > 500_000:
+                        yield found()
+                        around = bytearray()
+                        for c in (groups, lefts, rights, times, member, text, pos):
+                            del c[:]
                 elif last[3:] == x[3:]:
                     continue
                 last = x
-                at = own.get((x[1], x[2]))
+                row = x[2].rjust(reach, b"\0") + x[1].ljust(length, b"\0")
+                mark = xxhash.xxh3_128_digest(row, seed=len(x[2]) * 65536 + len(x[1]))
+                at = own.get(mark)
                 if at is None:
-                    at = own[x[1], x[2]] = len(times)
-                    for c, v in zip(kept, (group, x[2], x[1]), strict=True):
+                    at = own[mark] = len(times)
+                    around += row
+                    for c, v in zip((groups, lefts, rights, times), (group, len(x[2]), len(x[1]), 0), strict=True):
                         c.append(v)
-                    times.append(0)
                 times[at] += 1
                 member.append(at)
                 text.append(x[3])
                 pos.append(x[4])
             close()
             if len(member):
-                yield found(kept, times, member, text, pos)
-
-        def found(kept, times, member, text, pos):
-            low, high = covered(np.array(kept[0]), kept[1], kept[2], np.frombuffer(times, dtype=np.int64), length)
-            at, place = np.frombuffer(member, dtype=np.int64), np.frombuffer(pos, dtype=np.int64)
-            keep = high[at] >= 0
-            out = (np.frombuffer(text, dtype=np.int64)[keep], (place - high[at])[keep], (place - low[at] + length)[keep])
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["text_key", "start", "end"])
+                yield found()
 
         part, blobs = None, []
         for batch in batches:
