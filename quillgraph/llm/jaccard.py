@@ -152,29 +152,32 @@ class Union:
             i = up[i]
         return i
 
-    def join(self, i: int, j: int) -> bool:
+    def join(self, i: int, j: int) -> None:
         a, b = self.top(i), self.top(j)
         self.up[max(a, b)] = min(a, b)
-        return a != b
+
+    def stars(self) -> list[tuple[int, int]]:
+        """Each member with the least of its set, but for that one itself: short paths settle in fewer rounds."""
+        return [(i, top) for i in range(len(self.up)) if (top := self.top(i)) != i]
 
 
 def bound_links(points: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs that connect all points whose bounds pass (a forest of them)."""
-    tree, sets, out = CountTree(points, sizes, percent), Union(len(points)), []
+    """Pairs that connect all points whose bounds pass (stars, not the passing pairs themselves)."""
+    tree, sets = CountTree(points, sizes, percent), Union(len(points))
     for i in range(len(points)):
         for j in tree.near(points[i], int(sizes[i])).tolist():
-            if j < i and sets.join(i, j):
-                out.append((i, j))
-    return out
+            if j < i:
+                sets.join(i, j)
+    return sets.stars()
 
 
 def true_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Pairs that connect all sets that truly link (a forest of them): candidates by the tree, verified on the sets."""
+    """Pairs that connect all sets that truly link (stars, as in ``bound_links``): candidates by the tree, verified on the sets."""
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
     points = folded([counts(x) for x in sets])
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    tree, union, out = CountTree(points, sizes, percent), Union(len(sets)), []
+    tree, union = CountTree(points, sizes, percent), Union(len(sets))
     mark = np.zeros(int(flat.max()) + 1, dtype=bool)
     for i in range(len(sets)):
         mine = flat[starts[i] : starts[i + 1]]
@@ -186,10 +189,10 @@ def true_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             js = near[at : at + 512]
             both = np.add.reduceat(mark[np.concatenate([flat[starts[j] : starts[j + 1]] for j in js])], np.concatenate([[0], np.cumsum(sizes[js])[:-1]]), dtype=np.int64)
             for j, o in zip(js, both.tolist(), strict=True):
-                if 100 * o >= percent * (int(sizes[i]) + int(sizes[j]) - o) and union.join(i, j):
-                    out.append((i, j))
+                if 100 * o >= percent * (int(sizes[i]) + int(sizes[j]) - o):
+                    union.join(i, j)
         mark[mine] = False
-    return out
+    return union.stars()
 
 
 def _runs(batches, key: str):
