@@ -106,7 +106,7 @@ def folded(points: list[np.ndarray]) -> np.ndarray:
     """Points of unlike dimensions (powers of 2) as rows of the least: coordinates that fall together are added."""
     dims = min(len(p) for p in points)
     full = [p.reshape(-1, dims) for p in points]
-    return np.array([np.where((p == FULL).any(0), FULL, np.minimum(p.sum(0, dtype=np.int64), FULL)) for p in full], dtype=np.int32)
+    return np.array([np.where((p == FULL).any(0), FULL, np.minimum(p.sum(0, dtype=np.int64), FULL)) for p in full], dtype=np.uint8)
 
 
 class CountTree:
@@ -114,7 +114,8 @@ class CountTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int, fan: int = 16):
         self.percent = percent
-        spread = points.astype(np.float64).var(0).argsort()[::-1][:2]
+        sums, squares = points.sum(0, dtype=np.int64), np.einsum("ij,ij->j", points, points, dtype=np.int64)
+        spread = (len(points) * squares - sums * sums).argsort()[::-1][:2]
         slab = np.argsort(np.argsort(sizes, kind="stable"), kind="stable") // (fan * fan)
         self.order = np.lexsort((points[:, spread[1]], points[:, spread[0]], slab)) if len(points) > fan else np.arange(len(points))
         self.points, self.sizes = points[self.order], sizes[self.order].astype(np.int64)
