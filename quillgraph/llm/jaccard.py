@@ -255,7 +255,7 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 8000, m
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(sigs) if sigs else [], pa.int64())), pa.array(vecs, pa.binary())],
                 names=["doc_id", "n", "node", "sigs", "vec"])
 
-    known = common.stored(docs.mapInArrow(describe, "doc_id long, n long, node long, sigs array<long>, vec binary"), "jaccard-docs")
+    known = common.stored(docs.mapInArrow(common.returning(describe), "doc_id long, n long, node long, sigs array<long>, vec binary"), "jaccard-docs")
     nodes = known.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
 
     def shared(batches):
@@ -275,7 +275,7 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 8000, m
             yield held
 
     rows = known.select("node", F.explode("sigs").alias("sig")).repartition("sig").sortWithinPartitions("sig", "node")
-    members = common.stored(rows.mapInPandas(shared, "node long, sig long"), "jaccard-blocks")
+    members = common.stored(rows.mapInPandas(common.returning(shared), "node long, sig long"), "jaccard-blocks")
     points = known.groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec")).join(members.select("node").distinct(), "node", "left_semi")
     blocks = _dealt(members.join(points, "node"), "sig", "node", 2 * chunk)
 
@@ -301,7 +301,7 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 8000, m
                     out.append((node[a:b][x[:, 0]], node[a:b][x[:, 1]]))
             yield pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([x for _, x in out])}).drop_duplicates()
 
-    hull_edges = blocks.select("__deal", "node", "n", "vec").repartition("__deal").sortWithinPartitions("__deal").mapInPandas(hull_links, "a long, b long")
+    hull_edges = blocks.select("__deal", "node", "n", "vec").repartition("__deal").sortWithinPartitions("__deal").mapInPandas(common.returning(hull_links), "a long, b long")
     hulls = common.components(hull_edges.where("a <> b"), "jaccard-hulls").withColumnsRenamed({"id": "node", "component": "hull"})
     chosen = known.select("node", "doc_id", "n").join(hulls, "node").groupBy("node", "hull").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).getField("doc_id").alias("__id"))
     chosen = common.stored(chosen, "jaccard-chosen")
@@ -319,7 +319,7 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 8000, m
             out = pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.ListArray.from_arrays(at, pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64()))], names=["node", "hull", "set"])
             yield out.filter(pa.array([r == x for r, x in zip(right, batch.column(1).to_pylist(), strict=True)], pa.bool_()))
 
-    sets = texts.select("text", "node", "hull").mapInArrow(sets_of, "node long, hull long, set array<long>")
+    sets = texts.select("text", "node", "hull").mapInArrow(common.returning(sets_of), "node long, hull long, set array<long>")
     sets = common.stored(sets, "jaccard-sets")
     common.drop(members, chosen)
     dealt = _dealt(sets, "hull", "node", chunk)
@@ -332,7 +332,7 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 8000, m
                 out += [(node[a + i], node[a + j]) for i, j in found]
             yield pd.DataFrame(out, columns=["a", "b"])
 
-    edges = dealt.select("__deal", "node", "set").repartition("__deal").sortWithinPartitions("__deal").mapInPandas(links, "a long, b long")
+    edges = dealt.select("__deal", "node", "set").repartition("__deal").sortWithinPartitions("__deal").mapInPandas(common.returning(links), "a long, b long")
     parts = common.components(edges, "jaccard-links")
     common.drop(sets)
     named = nodes.join(parts, nodes["node"] == parts["id"], "left").select("node", "rep", F.coalesce("component", "node").alias("part"))

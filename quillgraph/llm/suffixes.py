@@ -228,8 +228,8 @@ def repeats(docs: DataFrame, length: int = 200, per_range: int = 60_000) -> Data
         if matched:
             yield held.loc[:, ["head", "text_key", "pos"]]
 
-    placed = docs.select("text_key", "text").mapInArrow(place, kinds).repartition("key").sortWithinPartitions("key", "text_key", "pos")
-    held = common.stored(placed.mapInPandas(shared, "head long, text_key long, pos long"), "suffix-anchors")
+    placed = docs.select("text_key", "text").mapInArrow(common.returning(place), kinds).repartition("key").sortWithinPartitions("key", "text_key", "pos")
+    held = common.stored(placed.mapInPandas(common.returning(shared), "head long, text_key long, pos long"), "suffix-anchors")
     ranges = max(1, -(-held.count() // per_range))
     cuts = held.agg(F.percentile_approx("head", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0] or []
     cuts = np.unique(np.array(cuts if ranges > 1 else [], dtype=np.int64))
@@ -268,7 +268,7 @@ def repeats(docs: DataFrame, length: int = 200, per_range: int = 60_000) -> Data
             yield flush()
 
     wanted = held.groupBy(F.col("text_key").alias("__key")).agg(F.collect_list("pos").alias("places"))
-    runs = docs.join(wanted, F.col("text_key") == F.col("__key")).select("text_key", "text", "places").mapInArrow(cut_runs, "part int, run binary")
+    runs = docs.join(wanted, F.col("text_key") == F.col("__key")).select("text_key", "text", "places").mapInArrow(common.returning(cut_runs), "part int, run binary")
 
     def merged(batches):
         def spans(blobs):
@@ -333,7 +333,7 @@ def repeats(docs: DataFrame, length: int = 200, per_range: int = 60_000) -> Data
         if blobs:
             yield from spans(blobs)
 
-    out = runs.repartition(max(1, len(cuts) + 1), "part").sortWithinPartitions("part").mapInArrow(merged, "text_key long, start long, end long")
+    out = runs.repartition(max(1, len(cuts) + 1), "part").sortWithinPartitions("part").mapInArrow(common.returning(merged), "text_key long, start long, end long")
     out = common.stored(out, "suffix-spans")
     common.drop(held)
     return out
