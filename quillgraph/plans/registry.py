@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..model import CodeGraph, current_confidence, priority, trust_model
+from ..operators import advice as R
 from ..operators import analysis as A
 from ..operators import linking as L
+from ..operators import mediators as M
 from ..operators import traverse as G
 from ..sources import files as S
 from ..streaming import changes
@@ -424,6 +426,94 @@ def invalidated_edges(spark, d):
     return e.groupBy("kind").agg(F.count("*").alias("n"))
 
 
+# --- mediators, recommendations, changes ------------------------------------------------------------------------------
+
+
+@query("""WITH k AS (SELECT p_partkey AS id, p_type AS file, CASE WHEN p_partkey % 3 = 0 THEN 'config_ref::' || upper(p_name) ELSE p_name END AS name FROM part),
+d AS (SELECT lower(name) AS canon, max(id) AS to_id FROM k WHERE NOT starts_with(name, 'config_ref::') GROUP BY 1)
+SELECT id AS from_id, to_id, file AS evidence_file FROM k JOIN d ON canon = lower(substr(name, 13)) WHERE starts_with(name, 'config_ref::')""")
+def config_reference_edges(spark, d):
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("config_ref::"), F.upper("p_name"))).otherwise(F.col("p_name"))
+    return M.config_references(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("ConfigKey").alias("kind"), name.alias("name"), F.col("p_type").alias("file")))
+
+
+_ROUTES = "SELECT event_id AS id, event_type AS file, event_id * 30 AS span_start, CASE event_id % 3 WHEN 0 THEN 'StringLiteral' ELSE 'Function' END AS kind, CASE event_id % 3 WHEN 0 THEN '/r' WHEN 1 THEN 'View' ELSE 'view' END AS name FROM events"
+
+
+@query(f"WITH x AS ({_ROUTES}) SELECT a.id AS from_id, b.id AS to_id, a.file AS evidence_file FROM x a JOIN x b ON a.file = b.file AND b.span_start BETWEEN a.span_start - 200 AND a.span_start + 200 WHERE a.name = '/r' AND b.name = 'View'")
+def route_edges(spark, d):
+    table(spark, d, "events").createOrReplaceTempView("events")
+    return M.route_components(spark.sql(_ROUTES))
+
+
+_SERVICES = """SELECT n_nationkey * 2 AS id, 'ConfigKey' AS kind, concat('services.', n_name) AS name, concat('a', n_regionkey, '/docker-compose.yml') AS file FROM nation
+UNION ALL SELECT n_nationkey * 2 + 1, 'ConfigKey', concat('services.', n_name, '.depends_on.0'), concat('a', n_regionkey, '/docker-compose.yml') FROM nation WHERE n_nationkey % 2 = 0"""
+
+
+@query("SELECT a.n_nationkey * 2 AS from_id, b.n_nationkey * 2 AS to_id, concat('a', a.n_regionkey, '/docker-compose.yml') AS evidence_file FROM nation a JOIN nation b USING (n_regionkey) WHERE a.n_nationkey % 2 = 0 AND a.n_nationkey <> b.n_nationkey")
+def compose_siblings(spark, d):
+    table(spark, d, "nation").createOrReplaceTempView("nation")
+    return M.service_siblings(spark.sql(_SERVICES))
+
+
+_GO = """SELECT n_nationkey AS id, 'Function' AS kind, concat('New', n_name) AS name, concat('d', n_regionkey, '/main.go') AS file FROM nation
+UNION ALL SELECT 1000 + r_regionkey, 'Function', 'wire.Build', concat('d', r_regionkey, '/main.go') FROM region WHERE r_regionkey < 3"""
+
+
+@query("SELECT a.n_nationkey AS from_id, b.n_nationkey AS to_id, concat('d', a.n_regionkey, '/main.go') AS evidence_file FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE a.n_regionkey < 3")
+def provider_pairs(spark, d):
+    for name in ("nation", "region"):
+        table(spark, d, name).createOrReplaceTempView(name)
+    return M.provider_pairs(spark.sql(_GO))
+
+
+@query("""WITH p AS (SELECT v, sum(n) AS m, sum(n * (n - 1) / 2) AS own, count(*) AS files FROM (SELECT concat(p_brand, '#', p_size) AS v, p_type AS f, count(*) AS n FROM part GROUP BY 1, 2) GROUP BY 1),
+q AS (SELECT files, m * (m - 1) / 2 - own AS pairs FROM p), t AS (SELECT count(*) AS n FROM customer),
+s AS (SELECT c.cap, coalesce((SELECT sum(pairs) FROM q WHERE files <= c.cap), 0)::BIGINT AS pairs FROM (VALUES (2), (3), (4), (6), (8)) c(cap)),
+o AS (SELECT coalesce((SELECT max(cap) FROM s WHERE cap < 8 AND floor(pairs * 100 / (SELECT n FROM t)) <= 10), 2) AS cap)
+SELECT 8 AS current_cap, x.pairs AS current_edges, y.cap AS recommended_cap, y.pairs AS projected_edges FROM s x, s y, o WHERE x.cap = 8 AND y.cap = o.cap AND floor(x.pairs * 100 / (SELECT n FROM t)) > 15""")
+def cap_recommendation(spark, d):
+    values = table(spark, d, "part").select(F.concat("p_brand", F.lit("#"), "p_size").alias("value"), F.col("p_type").alias("file"))
+    return R.cap_advice(values, table(spark, d, "customer").count())
+
+
+@query("""SELECT 'd' || doc_id AS file, 'DO NOT EDIT' AS marker, 1::BIGINT AS symbols FROM documents WHERE doc_id % 6 = 0 AND text IS NOT NULL ORDER BY 1 LIMIT 10""")
+def generated_files(spark, d):
+    docs = table(spark, d, "documents").withColumn("file", F.concat(F.lit("d"), "doc_id"))
+    nodes = docs.select("file", F.when(F.col("doc_id") % 2 == 0, "Function").otherwise("StringLiteral").alias("kind"))
+    return R.generated_files(nodes, docs.select("file", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("// DO NOT EDIT\n"), "text")).alias("content")))
+
+
+_SURE = "conf >= CAST(0.7 AS FLOAT) AND origin IN ('CompilerDerived', 'NameResolved', 'SyntaxMatched')"
+
+
+@query(WITH + f"SELECT 'Partial' AS trust, count(*) FILTER (WHERE {_SURE}) AS verified, count(*) FILTER (WHERE NOT ({_SURE})) AS broken FROM e")
+def path_trust(spark, d):
+    ok = (F.col("confidence") >= F.lit(0.7).cast("float")) & F.col("origin").isin("CompilerDerived", "NameResolved", "SyntaxMatched")
+    return R.path_trust(graph(spark, d).edges, ok)
+
+
+@query(WITH + f", x AS (SELECT id FROM n WHERE name = (SELECT min(c_name) FROM customer)) SELECT DISTINCT from_id, to_id, kind FROM e WHERE kind NOT IN ('Resolves', 'Contains', 'BelongsTo') AND (from_id IN (FROM x) OR to_id IN (FROM x))")
+def references_by_name(spark, d):
+    return R.references_to(graph(spark, d), table(spark, d, "customer").agg(F.min("c_name")).first()[0])
+
+
+_FILES = [("crates/region/src/region_0.rs",), ("crates/supplier/src/supplier_3.rs",), ("crates/orders/src/orders_7.py",)]
+
+
+@query(WITH + f""", x AS (SELECT id, file FROM n WHERE file IN ({', '.join(repr(f[0]) for f in _FILES)})), c AS (SELECT x.file, e.from_id, max(e.cur) AS c FROM x JOIN e ON e.to_id = x.id WHERE e.from_id NOT IN (SELECT id FROM x y WHERE y.file = x.file) GROUP BY 1, 2)
+SELECT file, symbols, coalesce(reached, 0) AS reached, round(coalesce(total, 0), 6) AS confidence FROM (SELECT file, count(*) AS symbols FROM x GROUP BY 1) LEFT JOIN (SELECT file, count(*) AS reached, sum(c) AS total FROM c GROUP BY 1) USING (file)""")
+def changed_file_impact(spark, d):
+    found = R.file_impact(graph(spark, d), spark.createDataFrame(_FILES, "file string"), depth=1)
+    return found.select("file", "symbols", "reached", F.round("confidence", 6).alias("confidence"))
+
+
+@query("""WITH t AS (SELECT doc_id, source, sum(length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) // 4 + (length(text) - length(regexp_replace(text, '[^\x00-\x7F]', '', 'g'))) // 2 + 1) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS tokens FROM documents)
+SELECT * FROM t WHERE tokens <= 5600""")
+def budget_page(spark, d):
+    return R.within_budget(table(spark, d, "documents").select("doc_id", "source", "text"), "text", ["source"], ["doc_id"], 8000).select("doc_id", "source", F.col("tokens").cast("long").alias("tokens"))
+
+
 # --- exports, functions, streaming ----------------------------------------------------------------------------------
 
 
