@@ -237,8 +237,16 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 8000, m
     only such rows has a null id. Repeated doc_ids count as documents of their own. An empty table gives an empty result.
     Other columns are ignored.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return groups(docs, size, percent, chunk, most_broadcast).select("doc_id", "n_shingles", "component_id")
+
+
+def groups(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 8000, most_broadcast: int = 400_000) -> DataFrame:
+    """``join`` with ``text_hash``, which with doc_id identifies a row's text, and ``component_hash``.
+
+    component_id and component_hash name the component's least row: by doc_id, nulls last, then by text_hash. Rows
+    without shingles name themselves.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
 
     def describe(batches):
         words = Words()
@@ -252,11 +260,12 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 8000, m
                 vecs.append(counts(x).tobytes())
             at = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(sigs) if sigs else [], pa.int64())), pa.array(vecs, pa.binary())],
-                names=["doc_id", "n", "node", "sigs", "vec"])
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(sigs) if sigs else [], pa.int64())), pa.array(vecs, pa.binary())],
+                names=["doc_id", "text_hash", "n", "node", "sigs", "vec"])
 
-    known = common.stored(docs.mapInArrow(common.returning(describe), "doc_id long, n long, node long, sigs array<long>, vec binary"), "jaccard-docs")
-    nodes = known.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    known = common.stored(docs.mapInArrow(common.returning(describe), "doc_id long, text_hash long, n long, node long, sigs array<long>, vec binary"), "jaccard-docs")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    nodes = known.where("n > 0").groupBy("node").agg(F.min(row).alias("rep"))
 
     def shared(batches):
         held, matched = None, False  # the last row so far, and whether its signature equals the one before
@@ -303,21 +312,26 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 8000, m
 
     hull_edges = blocks.select("__deal", "node", "n", "vec").repartition("__deal").sortWithinPartitions("__deal").mapInPandas(common.returning(hull_links), "a long, b long")
     hulls = common.components(hull_edges.where("a <> b"), "jaccard-hulls").withColumnsRenamed({"id": "node", "component": "hull"})
-    chosen = known.select("node", "doc_id", "n").join(hulls, "node").groupBy("node", "hull").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).getField("doc_id").alias("__id"))
-    chosen = common.stored(chosen, "jaccard-chosen")
+    chosen = known.select("node", "doc_id", "text_hash").join(hulls, "node").groupBy("node", "hull").agg(F.min(row).alias("__row"))
+    chosen = common.stored(chosen.select("node", "hull", F.col("__row.doc_id").alias("__id"), F.col("__row.text_hash").alias("__hash")), "jaccard-chosen")
     small = chosen.count() <= most_broadcast
-    texts = docs.join(F.broadcast(chosen) if small else chosen, F.col("doc_id").eqNullSafe(F.col("__id")))
+    texts = docs.join(F.broadcast(chosen) if small else chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
 
     def sets_of(batches):
         words, met = Words(), set()
         for batch in batches:
-            first = [x not in met and not met.add(x) for x in batch.column(1).to_pylist()]  # of repeated rows, one will do
-            batch = batch.filter(pa.array(first, pa.bool_()))
-            sets = [shingles(t.as_py(), words, size) for t in batch.column(0)]
-            at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            right = [xxhash.xxh3_64_intdigest(x.tobytes(), seed=len(x)) - 2**63 for x in sets]  # a repeated doc_id may bring another text
-            out = pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.ListArray.from_arrays(at, pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64()))], names=["node", "hull", "set"])
-            yield out.filter(pa.array([r == x for r, x in zip(right, batch.column(1).to_pylist(), strict=True)], pa.bool_()))
+            node, sets = batch.column(1).to_pylist(), []
+            for t, x in zip(batch.column(0), node, strict=True):
+                found = shingles(t.as_py(), words, size) if x not in met else None  # of repeated rows, one will do
+                if found is not None and xxhash.xxh3_64_intdigest(found.tobytes(), seed=len(found)) - 2**63 != x:
+                    found = None  # another text with this hash
+                if found is not None:
+                    met.add(x)
+                sets.append(found)
+            batch = batch.filter(pa.array([x is not None for x in sets], pa.bool_()))
+            sets = [x for x in sets if x is not None]
+            at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.ListArray.from_arrays(at, pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64()))], names=["node", "hull", "set"])
 
     sets = texts.select("text", "node", "hull").mapInArrow(common.returning(sets_of), "node long, hull long, set array<long>")
     sets = common.stored(sets, "jaccard-sets")
@@ -337,10 +351,12 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 8000, m
     common.drop(sets)
     named = nodes.join(parts, nodes["node"] == parts["id"], "left").select("node", "rep", F.coalesce("component", "node").alias("part"))
     named = common.stored(named, "jaccard-named")
-    least = named.groupBy("part").agg(F.min("rep").alias("component_id"))
-    of_node = named.join(least, "part").select(F.col("node").alias("__node"), "component_id")
+    least = named.groupBy("part").agg(F.min("rep").alias("__least"))
+    of_node = named.join(least, "part").select(F.col("node").alias("__node"), "__least")
     return known.join(of_node, (F.col("node") == F.col("__node")) & (F.col("n") > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("__least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("__least.text_hash")).otherwise(F.col("text_hash")).alias("component_hash"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

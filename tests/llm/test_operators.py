@@ -113,6 +113,22 @@ def test_jaccard(docs, empty, size, percent):
     assert jaccard.join(empty).count() == 0
 
 
+def test_jaccard_repeated_and_null_ids(spark):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices(VOCABULARY, k=90)) for _ in range(30)]
+    copies = [t + " tail" for t in texts]
+    rows = [(None, t) for t in texts] + [(5, t) for t in texts[:10]] + [(100 + i, t) for i, t in enumerate(copies)] + [(None, texts[0])]
+    ids = [100 + i for i in range(30)]
+    want = sorted([(100 + i, 5 if i < 10 else 100 + i) for i in range(30)] + [(5, 5)] * 10 + [(-1, 5)] * 11 + [(-1, i) for i in ids[10:]])
+    for order in (rows, rows[::-1]):
+        d = spark.createDataFrame(order, "doc_id long, text string").repartition(1)
+        got = jaccard.join(d, 3, 90).collect()
+        assert sorted(tuple(-1 if v is None else v for v in (r.doc_id, r.component_id)) for r in got) == want
+    # unlike texts without any named copy: each null-id row keeps to itself, told apart by the text's hash
+    alone = jaccard.groups(spark.createDataFrame([(None, t) for t in [*texts, texts[3]]], "doc_id long, text string"), 3, 90).collect()
+    assert len({r.component_hash for r in alone}) == len(texts) and all(r.component_id is None for r in alone)
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in common.components(e).collect()}
