@@ -22,17 +22,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a shingle similarity of 0.8 or more (five words), the document with the least doc_id.
+    """Of each group linked by a shingle similarity of 0.8 or more (five words), the row with the least doc_id.
 
-    Texts without words link with nothing and stay. Of rows that share a doc_id the first by text stays.
+    Rows are told apart by doc_id and text, so null or repeated doc_ids with unlike texts all stay; nulls come last, and
+    of one doc_id the least text hash first. Of rows equal in both, one stays. Texts without words link with nothing and stay.
     """
-    groups = jaccard.join(docs, size=5, percent=80).where("doc_id = component_id OR doc_id IS NULL AND component_id IS NULL").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(groups, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if repeated.isEmpty():
-        return kept.select(*COLUMNS)
-    return kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*COLUMNS)
+    groups = jaccard.groups(docs, size=5, percent=80).where("n_shingles > 0")
+    least = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("component_hash"))
+    texts = groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("__rows"), F.max(least).alias("__least"))
+    marked = texts.where("NOT __least OR __rows > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__least")
+    marked = common.stored(marked, "near-copies")  # only what doesn't simply stay
+    rows = docs.join(marked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    once = rows.where("__least").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("__row")).select("doc_id", "text", "__row.*")
+    return rows.where("__least IS NULL").select(*COLUMNS).unionByName(once.select(*COLUMNS))
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -278,3 +278,16 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert all(PASSAGE not in (r.text or "") for r in kept["repeats"].collect())
     assert kept["pieces"].where("NOT decoded_equal").count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept["pieces"].count()
+
+
+def test_near_copies_keep_rows_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    text = [" ".join(rng.choices(VOCABULARY, k=120)) for _ in range(8)]
+    rows = [(None, t) for t in text[:3]] + [(3, text[3]), (7, text[3] + " tail"), (7, text[4]), (7, text[5]), (8, text[6]), (8, text[6]), (9, text[6] + " end"), (None, text[7]), (None, text[7])]
+    rows += [(None, None), (None, ""), (7, " "), (7, " ")]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = [(None, t) for t in text[:3]] + [(3, text[3]), (7, text[4]), (7, text[5]), (8, text[6]), (None, text[7]), (None, None), (None, ""), (7, " "), (7, " ")]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies_stage(spark, d, "").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
