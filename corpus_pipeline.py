@@ -54,16 +54,12 @@ def whole_characters(kept):
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one at which a source meets its target is cut to the words wanted."""
+    """Documents as often as the mix takes them, always whole: the one at which a source meets its target is taken once
+    more if that brings the source nearer to the target (half a document counts as nearer).
+    """
     mixed = mixing.mix(docs, mixing.label_quality(common.table(spark, sf_dir, "labels")))
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    left = (F.col("taken") - times * F.col("size")).cast("int")
-    whole = F.array_repeat(F.lit(-1), times)
-    copies = F.concat(whole, F.when((F.col("size") > 0) & (left > 0), F.array(left)).otherwise(F.array().cast("array<int>")))
-    rows = mixed.withColumn("__words", F.explode(copies))
-    cut = F.array_join(F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), common.GAP), 1, F.greatest(F.col("__words"), F.lit(1))), " ")
-    text = F.when(F.col("__words") < 0, F.col("text")).otherwise(cut)
-    return rows.withColumn("text", text).withColumn("n_chars", F.when(F.col("__words") < 0, F.col("n_chars")).otherwise(F.length("text"))).select(*COLUMNS)
+    times = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(1).cast("int")
+    return mixed.withColumn("__time", F.explode(F.array_repeat(F.lit(0), times))).select(*COLUMNS)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

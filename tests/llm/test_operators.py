@@ -291,3 +291,22 @@ def test_near_copies_keep_rows_of_null_and_repeated_ids(spark):
     want = [(None, t) for t in text[:3]] + [(3, text[3]), (7, text[4]), (7, text[5]), (8, text[6]), (None, text[7]), (None, None), (None, ""), (7, " "), (7, " ")]
     got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies_stage(spark, d, "").collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_mixing_stage_emits_whole_texts(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    rows = [(i, " \n".join(rng.choices(VOCABULARY, k=rng.randint(5, 60))), "en", f"host{i if i < 9 else 9}") for i in range(40)] + [(None, " ", "en", None)]
+    d = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.mixing_stage(spark, d, str(tmp_path)).collect()
+    assert {(r.doc_id, r.text) for r in out} <= {r[:2] for r in rows} and all(r.n_chars == len(r.text) for r in out)
+    times, words = collections.Counter(r.doc_id for r in out), collections.Counter()
+    for r in out:
+        words[r.source] += len(r.text.split())
+    mixed = mixing.mix(d).collect()
+    for r in mixed:
+        assert times[r.doc_id] == (int(r.taken / r.size + 0.5) if r.size else 1)
+        most = max(x.size for x in mixed if x.source == r.source)
+        assert abs(words[r.source] - r.target) <= most / 2 + 0.5
