@@ -64,13 +64,15 @@ def apart(n: int, percent: int) -> int:
 
 
 def levels(n: int, percent: int) -> list[tuple[int, int]]:
-    """(level, groups) under which a set of n shingles files itself: its own and, near the lower end, the one below."""
-    k, low, top = 0, 0.0, 16.0
-    while n >= top:
-        k, low, top = k + 1, top, top * STEP
-    out = [(k, top)]
-    if k and n * percent < low * 100:
-        out.append((k - 1, low))
+    """(level, groups) under which a set of n shingles files itself: its own and all below that a set it may link with has."""
+    tops = [16.0]
+    while n >= tops[-1]:
+        tops.append(tops[-1] * STEP)
+    k = len(tops) - 1
+    out = [(k, tops[k])]
+    while k and n * percent < tops[k - 1] * 100:
+        k -= 1
+        out.append((k, tops[k]))
     return [(level, apart(int(np.ceil(t)) - 1, percent) + 1 + SPARE) for level, t in out]
 
 

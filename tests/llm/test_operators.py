@@ -129,6 +129,16 @@ def test_jaccard_repeated_and_null_ids(spark):
     assert len({r.component_hash for r in alone}) == len(texts) and all(r.component_id is None for r in alone)
 
 
+@pytest.mark.parametrize(("percent", "small", "large"), [(60, 25, 41), (40, 25, 62)])
+def test_jaccard_levels_far_apart(spark, percent, small, large):
+    words = [f"w{i}" for i in range(large)]
+    d = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:small]))], "doc_id long, text string")
+    assert {r.component_id for r in jaccard.join(d, 1, percent).collect()} == {1}
+    for n in range(1, 400):
+        least = -(-n * percent // 100)
+        assert all(jaccard.levels(m, percent)[0] in jaccard.levels(n, percent) for m in range(least, n + 1))
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in common.components(e).collect()}
