@@ -71,8 +71,10 @@ UNKNOWN = [
     "A driving license is needed for this.", "He asked for permission to leave the school.", "The warranty is void.", "A public domain name was registered.",
     "the copyright of the book is held by the author", "You may not use this without permission.", "Proprietary license: do not distribute.", "the software is distributed with the general license of the company",
 ]
-#: A paragraph that holds none of these stems can't be a notice of any family.
-STEMS = ("licen", "copyright", "permission", "redistribut", "spdx", "public domain", "creative commons", "cc by", "cc0", "free software", "warrant")
+#: What tells of a licence in a paragraph's words (joined by single spaces): it is then reported even if no family is confirmed.
+STEMS = ("licen", "copyright", "permission", "redistribut", "spdx", "public domain", "creative commons", "cc by", "cc0", "free software", "warrant",
+         "apache 2", "apache v2", "gpl", " mpl ", " mit ", " bsd ", " isc ")
+EVERYDAY = "the of and to in is that for on with a as be by this are was from it at or an not have which one had we you".split()
 FAMILIES = (*sorted(TEMPLATES), "unknown")
 
 
@@ -92,11 +94,17 @@ def words_column(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda w: F.regexp_replace(w, r"^\.+|\.+$", "")), lambda w: w != "")
 
 
+def signs() -> list[str]:
+    """The templates' 2-grams but those of two everyday words: without one of them or a stem nothing is scored."""
+    grams = set().union(*(grams_of(t) for ts in TEMPLATES.values() for t in ts))
+    return sorted(g for g in grams if " " in g and not set(g.split()) <= set(EVERYDAY))
+
+
 def train(seed: int = 7, per_template: int = 10, steps: int = 150, held_out: int = 5) -> dict:
     """Weights, temperature and template n-grams; the same for every run."""
     rng = np.random.default_rng(seed)
     texts, kinds = [], []
-    filler = "the of and to in is that for on with a as be by this are was from it at or an not have which one had we you".split()
+    filler = EVERYDAY
     for y, family in enumerate(FAMILIES):
         for t in TEMPLATES.get(family, UNKNOWN):
             for k in range(per_template):
@@ -138,28 +146,33 @@ def train(seed: int = 7, per_template: int = 10, steps: int = 150, held_out: int
 
 
 def scan(docs: DataFrame, model: dict | None = None, sure: float = 0.5, like: float = 0.6) -> DataFrame:
-    """One row per distinct (doc_id, paragraph text) of ``docs(doc_id, text, ...)`` that could be a notice.
+    """One row per distinct (doc_id, paragraph text) of ``docs(doc_id, text, ...)`` that tells of a licence.
 
-    Paragraphs are lines. Returns doc_id, paragraph, family, probability, unknown_probability, similarity, confirmed.
+    Paragraphs are lines, and also blocks of lines between blank ones, so that wrapped notices are whole. Scored is what
+    holds a stem or a 2-gram of a template (``signs``) in its words; without a stem only confirmed rows are returned.
+    Returns doc_id, paragraph, family, probability, unknown_probability, similarity, confirmed.
     family is ``unknown`` where no family reaches ``sure``; confirmed where the similarity to a template of the family is
     at least ``like``. Null and empty texts have no paragraphs; a repeated row or line gives no further row; an empty
     table gives none. Equal paragraphs are classified once, however many documents share them.
     """
     model = model or train()
     spark, k = docs.sparkSession, len(FAMILIES)
-    hit = lambda c: F.greatest(*[F.contains(c, F.lit(s)) for s in STEMS])
+    spaced = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+    stem = F.greatest(*[F.contains(spaced, F.lit(s)) for s in STEMS])
+    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    sign = F.arrays_overlap(F.array_compact(pairs), F.array(*[F.lit(g) for g in signs()]))
+    blocks = F.filter(F.split("text", r"(?:\r\n?|\n)[\t ]*(?:\r\n?|\n)\s*"), lambda b: b.rlike(r"[^\r\n][\r\n]+[^\r\n]"))
     lines = (
-        docs.where(hit(F.lower("text"))).select("doc_id", F.explode(F.split("text", r"[\r\n]+")).alias("paragraph"))
-        .where(hit(F.lower("paragraph"))).distinct()
+        docs.select("doc_id", F.explode(F.array_distinct(F.concat(F.split("text", r"[\r\n]+"), blocks))).alias("paragraph"))
+        .withColumn("w", words_column(F.col("paragraph"))).where(stem | sign).select("doc_id", "paragraph").distinct()
     )
-    unlike = lines.select("paragraph").distinct().withColumn("w", words_column(F.col("paragraph")))
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-    rows = unlike.select("paragraph", F.explode(F.array_distinct(F.array_compact(F.concat("w", pairs)))).alias("gram"))
+    unlike = lines.select("paragraph").distinct().withColumn("w", words_column(F.col("paragraph"))).withColumn("stem", stem)
+    rows = unlike.select("paragraph", "stem", F.explode(F.array_distinct(F.array_compact(F.concat("w", pairs)))).alias("gram"))
     templates = [(f, grams_of(t)) for f in FAMILIES[:-1] for t in TEMPLATES[f]]
     table = spark.createDataFrame(
         [(g, [float(v) for v in model["weights"][i]], [int(g in s) for _, s in templates]) for i, g in enumerate(model["grams"])], "gram string, weight array<double>, within array<int>")
     joined = rows.join(F.broadcast(table), "gram", "left")  # the n-grams of the templates: a fixed number
-    summed = joined.groupBy("paragraph").agg(
+    summed = joined.groupBy("paragraph", "stem").agg(
         F.count("*").alias("n"), F.count("weight").alias("hits"),
         F.array(*[F.coalesce(F.sum(F.element_at("weight", j + 1)), F.lit(0.0)) for j in range(k)]).alias("z"),
         F.array(*[F.coalesce(F.sum(F.element_at("within", j + 1)), F.lit(0)) for j in range(len(templates))]).alias("shared"),
@@ -176,8 +189,8 @@ def scan(docs: DataFrame, model: dict | None = None, sure: float = 0.5, like: fl
     near = F.array_max(F.transform(F.filter(sims, lambda v: v["f"] == F.col("best")["f"]), lambda v: v["s"]))
     known = F.col("best")["p"] >= sure
     out = scored.select(
-        "paragraph", F.when(known, F.col("best")["f"]).otherwise("unknown").alias("family"), F.col("best")["p"].alias("probability"), "unknown_probability",
-        near.alias("similarity"), (known & (near >= like)).alias("confirmed"))
+        "paragraph", "stem", F.when(known, F.col("best")["f"]).otherwise("unknown").alias("family"), F.col("best")["p"].alias("probability"), "unknown_probability",
+        near.alias("similarity"), (known & (near >= like)).alias("confirmed")).where("stem OR confirmed")
     return lines.join(out, "paragraph").select("doc_id", "paragraph", "family", "probability", "unknown_probability", "similarity", "confirmed")
 
 

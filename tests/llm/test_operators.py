@@ -66,6 +66,16 @@ def test_licenses(spark, empty):
     assert licenses.train()["held_out_accuracy"] > 0.95
 
 
+def test_licenses_names_and_wrapped_notices(spark):
+    wrapped = "\n".join(["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files (the \"Software\"), to deal", "in the Software without restriction, including without limitation the rights", "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies"])
+    texts = ["CC-BY-SA 4.0", "x\nCC-BY-NC 4.0", "CC-BY 4.0", "Apache-2.0", "MPL 2.0", "public  domain", "GPLv3", "plain words\n\n" + wrapped + "\n\nmore", "use it freely\nthis file of the work\nfree", "mit\nfree"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licenses.scan(d).collect()
+    assert {(r.doc_id, r.family) for r in found if r.confirmed and r.doc_id < 5} == {(0, "cc-by-sa"), (1, "cc-by-nc"), (2, "cc-by"), (3, "apache-2.0"), (4, "mpl-2.0")}
+    assert {5, 6} <= {r.doc_id for r in found} and 8 not in {r.doc_id for r in found}
+    assert [(r.doc_id, r.family) for r in found if r.paragraph == wrapped and r.confirmed] == [(7, "mit")]
+
+
 def bm25(rows, query, k):
     tf = [collections.Counter((t or "").encode().lower().split()) for _, t in rows]
     size = [sum(c.values()) for c in tf]
