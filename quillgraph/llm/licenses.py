@@ -94,10 +94,19 @@ def words_column(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda w: F.regexp_replace(w, r"^\.+|\.+$", "")), lambda w: w != "")
 
 
-def signs() -> list[str]:
-    """The templates' 2-grams but those of two everyday words: without one of them or a stem nothing is scored."""
+def signs() -> str:
+    """Pattern of the templates' 2-grams without everyday words, and of the stems; over lowered text, gaps of any kind."""
     grams = set().union(*(grams_of(t) for ts in TEMPLATES.values() for t in ts))
-    return sorted(g for g in grams if " " in g and not set(g.split()) <= set(EVERYDAY))
+    seconds = {}
+    for g in sorted(grams):
+        if " " in g and not set(g.split()) & set(EVERYDAY):
+            seconds.setdefault(g.split()[0], []).append(g.split()[1].replace(".", r"\."))
+    gap, letters = "[^a-z0-9]+", {}
+    for w, after in seconds.items():
+        letters.setdefault(w[0], []).append(w[1:].replace(".", r"\.") + gap + "(?:" + "|".join(after) + ")")
+    pairs = "|".join(f"{c}(?:{'|'.join(x)})" for c, x in letters.items())
+    stems = "|".join(("(?<![a-z0-9])" if x[0] == " " else "") + gap.join(x.split()) + ("(?![a-z0-9])" if x[-1] == " " else "") for x in STEMS)
+    return f"(?<![a-z0-9])(?:{pairs})(?![a-z0-9])|{stems}"
 
 
 def train(seed: int = 7, per_template: int = 10, steps: int = 150, held_out: int = 5) -> dict:
@@ -149,7 +158,7 @@ def scan(docs: DataFrame, model: dict | None = None, sure: float = 0.5, like: fl
     """One row per distinct (doc_id, paragraph text) of ``docs(doc_id, text, ...)`` that tells of a licence.
 
     Paragraphs are lines, and also blocks of lines between blank ones, so that wrapped notices are whole. Scored is what
-    holds a stem or a 2-gram of a template (``signs``) in its words; without a stem only confirmed rows are returned.
+    holds a stem or a 2-gram of a template without everyday words (``signs``); without a stem only confirmed rows are returned.
     Returns doc_id, paragraph, family, probability, unknown_probability, similarity, confirmed.
     family is ``unknown`` where no family reaches ``sure``; confirmed where the similarity to a template of the family is
     at least ``like``. Null and empty texts have no paragraphs; a repeated row or line gives no further row; an empty
@@ -157,16 +166,15 @@ def scan(docs: DataFrame, model: dict | None = None, sure: float = 0.5, like: fl
     """
     model = model or train()
     spark, k = docs.sparkSession, len(FAMILIES)
-    spaced = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
-    stem = F.greatest(*[F.contains(spaced, F.lit(s)) for s in STEMS])
+    hit = lambda c: F.lower(c).rlike(signs())
+    stem = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).rlike("|".join(STEMS))
     pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-    sign = F.arrays_overlap(F.array_compact(pairs), F.array(*[F.lit(g) for g in signs()]))
     blocks = F.filter(F.split("text", r"(?:\r\n?|\n)[\t ]*(?:\r\n?|\n)\s*"), lambda b: b.rlike(r"[^\r\n][\r\n]+[^\r\n]"))
-    lines = (
-        docs.select("doc_id", F.explode(F.array_distinct(F.concat(F.split("text", r"[\r\n]+"), blocks))).alias("paragraph"))
-        .withColumn("w", words_column(F.col("paragraph"))).where(stem | sign).select("doc_id", "paragraph").distinct()
-    )
-    unlike = lines.select("paragraph").distinct().withColumn("w", words_column(F.col("paragraph"))).withColumn("stem", stem)
+    lines = common.stored(
+        docs.where(hit("text")).select("doc_id", F.explode(F.array_distinct(F.concat(F.split("text", r"[\r\n]+"), blocks))).alias("paragraph"))
+        .where(hit("paragraph")).distinct(), "license-lines")
+    unlike = lines.select("paragraph").distinct().withColumn("w", words_column(F.col("paragraph")))
+    unlike = common.stored(unlike, "license-words").withColumn("stem", stem)  # else every use of the words makes them again
     rows = unlike.select("paragraph", "stem", F.explode(F.array_distinct(F.array_compact(F.concat("w", pairs)))).alias("gram"))
     templates = [(f, grams_of(t)) for f in FAMILIES[:-1] for t in TEMPLATES[f]]
     table = spark.createDataFrame(
