@@ -73,7 +73,7 @@ UNKNOWN = [
 ]
 #: What tells of a licence in a paragraph's words (joined by single spaces): it is then reported even if no family is confirmed.
 STEMS = ("licen", "copyright", "permission", "redistribut", "spdx", "public domain", "creative commons", "cc by", "cc0", "free software", "warrant",
-         "apache 2", "apache v2", "gpl", " mpl ", " mit ", " bsd ", " isc ")
+         "apache 2", "apache v2", "gpl", " mpl ", " bsd ", " isc ")  # not "mit": a common German word
 EVERYDAY = "the of and to in is that for on with a as be by this are was from it at or an not have which one had we you".split()
 FAMILIES = (*sorted(TEMPLATES), "unknown")
 
@@ -175,13 +175,15 @@ def scan(docs: DataFrame, model: dict | None = None, sure: float = 0.5, like: fl
         .where(hit("paragraph")).distinct(), "license-lines")
     unlike = lines.select("paragraph").distinct().withColumn("w", words_column(F.col("paragraph")))
     unlike = common.stored(unlike, "license-words").withColumn("stem", stem)  # else every use of the words makes them again
-    rows = unlike.select("paragraph", "stem", F.explode(F.array_distinct(F.array_compact(F.concat("w", pairs)))).alias("gram"))
+    grams = F.array_distinct(F.array_compact(F.concat("w", pairs)))
+    known_grams = F.array_intersect(grams, F.array(*[F.lit(g) for g in model["grams"]]))
+    rows = unlike.select("paragraph", "stem", F.size(grams).alias("n"), F.explode_outer(known_grams).alias("gram"))
     templates = [(f, grams_of(t)) for f in FAMILIES[:-1] for t in TEMPLATES[f]]
     table = spark.createDataFrame(
         [(g, [float(v) for v in model["weights"][i]], [int(g in s) for _, s in templates]) for i, g in enumerate(model["grams"])], "gram string, weight array<double>, within array<int>")
     joined = rows.join(F.broadcast(table), "gram", "left")  # the n-grams of the templates: a fixed number
     summed = joined.groupBy("paragraph", "stem").agg(
-        F.count("*").alias("n"), F.count("weight").alias("hits"),
+        F.max("n").alias("n"), F.count("weight").alias("hits"),
         F.array(*[F.coalesce(F.sum(F.element_at("weight", j + 1)), F.lit(0.0)) for j in range(k)]).alias("z"),
         F.array(*[F.coalesce(F.sum(F.element_at("within", j + 1)), F.lit(0)) for j in range(len(templates))]).alias("shared"),
     )
