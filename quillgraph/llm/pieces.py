@@ -192,6 +192,7 @@ def encode(docs: DataFrame, model: dict) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(np.frombuffer(flat, dtype=np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int64)), lists, pa.array(equal)], names=["doc_id", "n_tokens", "ids", "decoded_equal"])
 
+    common.small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_tokens long, ids array<int>, decoded_equal boolean")
 
 
