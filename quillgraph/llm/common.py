@@ -28,6 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -89,32 +91,40 @@ def word_count(text: str) -> F.Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components", most_rounds: int = 60, most_hot: int = 20_000) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` -> ``(id, component)``, component being the least id.
 
     Alternates large-star and small-star steps, so paths of length L need O(log L) rounds. A node's neighbours are
-    only aggregated (min) and joined back, never gathered in a list; every round is a table in the shared folder.
+    only aggregated (min) and joined back, never gathered in a list; every step is a table in the shared folder. What
+    nodes of very many edges aggregate to is broadcast, so that their edges needn't meet in one task; a node counts as
+    such from a share of all edges that at most ``most_hot`` nodes can have.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
+        hot = max(1000, -(-2 * n // most_hot))
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        linked = both.join(low, "a")
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        some = F.broadcast(low.where(F.col("n") >= hot).select(F.col("a").alias("__a"), F.col("m").alias("__m")))
+        marked = both.join(some, F.col("a") == F.col("__a"), "left")
+        linked = marked.where("__m IS NULL").select("a", "b").join(low.where(F.col("n") < hot).select("a", "m"), "a").unionByName(
+            marked.where("__m IS NOT NULL").select("a", "b", F.col("__m").alias("m")))
         if large:
             out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
+        return stored(out.where("a <> b").distinct(), name)
 
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
-    before = None
+    before, n = None, now.count()
     for _ in range(most_rounds):
-        old, now = now, stored(star(star(now, True), False), name)
-        drop(old)
+        half = star(now, True, n)
+        drop(now)
+        now = star(half, False, n)
+        drop(half)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == before:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
                 now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
-        before = seen
+        before, n = seen, seen[0]
     raise RuntimeError(f"components: not settled after {most_rounds} rounds")

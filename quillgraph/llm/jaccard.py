@@ -5,7 +5,8 @@ point, and the overlap of two documents is at most the sum of their coordinates'
 sum from boxes, so only pairs that could reach the threshold are verified on the sets themselves.
 
 A corpus doesn't fit one tree, so points first meet in blocks: sets at most D shingles apart that are split by hash into
-more than D groups have an equal group, so blocks of equal groups lose no pair. Within a block a tree finds the pairs
+more than D groups have an equal group, so blocks of equal groups lose no pair. Near copies share most of their groups,
+so blocks of the same members are one. Within a block a tree finds the pairs
 whose bound passes; what they connect makes hulls, and each hull's sets are joined by a tree and verified. A hull or
 block of any size is dealt out by pairs of chunks.
 """
@@ -270,25 +271,42 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 8000,
     nodes = known.where("n > 0").groupBy("node").agg(F.min(row).alias("rep"))
 
     def shared(batches):
-        held, matched = None, False  # the last row so far, and whether its signature equals the one before
+        """Blocks of two or more sets, named by a hash of their members, so that blocks of the same members become one;
+        blocks of over ``chunk`` members go out as they come, named by their signature."""
+        sig = node = np.empty(0, dtype=np.int64)  # of the block that is still open
+        out = None  # the signature of an open block that is going out
+
+        def closed(sig, node):
+            at = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+            sizes = np.diff(np.r_[at, len(sig)])
+            block = _mix(np.add.reduceat(_mix(node.view(np.uint64)), at) + sizes.astype(np.uint64) * _A)
+            return pd.DataFrame({"node": node, "block": np.repeat(block.view(np.int64), sizes)})[np.repeat(sizes > 1, sizes)]
+
         for pdf in batches:
-            if not len(pdf):
+            sig, node = np.r_[sig, pdf["sig"].to_numpy()], np.r_[node, pdf["node"].to_numpy()]
+            new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])][: len(sig)]  # copies have the same rows
+            sig, node = sig[new], node[new]
+            if out is not None and len(sig):
+                n = int(np.argmax(np.r_[sig != out, True]))
+                yield pd.DataFrame({"node": node[:n], "block": sig[:n]})
+                sig, node, out = sig[n:], node[n:], out if n == len(sig) else None
+            if not len(sig):
                 continue
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            k, node = pdf["sig"].to_numpy(), pdf["node"].to_numpy()
-            new = np.r_[True, (k[1:] != k[:-1]) | (node[1:] != node[:-1])]  # copies have the same rows
-            pdf, k = pdf[new], k[new]
-            same = k[1:] == k[:-1]
-            out = np.r_[matched, same] | np.r_[same, False]
-            yield pdf[:-1][out[:-1]]
-            held, matched = pdf.iloc[-1:], bool(out[-1])
-        if matched:
-            yield held
+            other = np.flatnonzero(sig != sig[-1])
+            at = int(other[-1]) + 1 if len(other) else 0
+            if at:
+                yield closed(sig[:at], node[:at])
+            sig, node = sig[at:], node[at:]
+            if len(sig) > chunk:
+                yield pd.DataFrame({"node": node, "block": sig})
+                out, sig, node = sig[0], sig[:0], node[:0]
+        if len(sig):
+            yield closed(sig, node)
 
     rows = known.select("node", F.explode("sigs").alias("sig")).repartition("sig").sortWithinPartitions("sig", "node")
-    members = common.stored(rows.mapInPandas(common.returning(shared), "node long, sig long"), "jaccard-blocks")
+    members = common.stored(rows.mapInPandas(common.returning(shared), "node long, block long").distinct(), "jaccard-blocks")
     points = known.groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec")).join(members.select("node").distinct(), "node", "left_semi")
-    blocks = _dealt(members.join(points, "node"), "sig", "node", 2 * chunk)
+    blocks = _dealt(members.join(points, "node"), "block", "node", 2 * chunk)
 
     def hull_links(batches):
         for pdf in _runs(batches, "__deal"):
