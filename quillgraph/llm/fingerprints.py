@@ -99,25 +99,59 @@ def fingerprint(texts: DataFrame, keys: list[str], columns: list[str], facts: li
     return out
 
 
+def _place() -> Column:
+    """What rows are ordered by: null doc_ids first, then doc_id, then 32 bits of the text's hash."""
+    return F.struct(
+        F.col("doc_id").isNotNull().cast("int").alias("b"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("hi"),
+        F.shiftright(F.xxhash64("text"), 32).cast("int").alias("lo"))
+
+
+def _number(place) -> int:
+    return ((place["b"] << 64) + place["hi"] + 2**63) * 2**32 + place["lo"] + 2**31
+
+
+def _cell(place: Column, starts: list[int]) -> Column:
+    """Index of the last of the ascending ``starts`` that isn't above a row's place, by binary search."""
+    rows = [[x >> 96, ((x >> 32) % 2**64) - 2**63, x % 2**32 - 2**31] for x in starts]
+    text = "[" + ",".join(f'{{"b":{b},"hi":{hi},"lo":{lo}}}' for b, hi, lo in rows) + "]"
+    table = F.from_json(F.lit(text), "array<struct<b:int,hi:bigint,lo:int>>")
+    steps = F.array(*[F.lit(1 << k) for k in range(len(starts).bit_length() - 1, -1, -1)])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= place, at + step).otherwise(at))
+    return F.greatest(found - 1, F.lit(0))
+
+
 def in_order(docs: DataFrame, bucket_bytes: int = 8 << 20, cells: int = 8192) -> tuple[DataFrame, list[int]]:
     """Adds ``__bucket`` and ``__text_key``: buckets ascend by doc_id, rows within one by (doc_id, text); null doc_ids come first.
 
-    Buckets of about ``bucket_bytes`` are runs of up to ``cells`` equal ranges of doc_id; there are at most ``cells``.
-    Returns the buckets that have rows, too.
+    Ranges of places are counted and those that hold too much are cut again until none does, wherever ids lie and
+    whatever share of rows one id (or none) has; only rows that are equal in doc_id and text can't be told apart. A
+    bucket is a run of ranges of about ``bucket_bytes``, or of a ``cells``th of the corpus where that is more, so the
+    driver sees a bounded number of sums. Returns the buckets, too.
     """
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // cells))
-    cell = F.when(F.col("doc_id").isNull(), 0).otherwise(F.floor((F.col("doc_id") - low) / width)).cast("int")
-    sizes = docs.groupBy(cell.alias("cell")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("size")).collect()
-    bucket_of, bucket, filled = [0] * ((high - low) // width + 1), 0, 0
-    for c, size in sorted((r["cell"], r["size"]) for r in sizes):
-        if filled and filled + size > bucket_bytes:
-            bucket, filled = bucket + 1, 0
-        filled += size
-        bucket_of[c] = bucket
-    table = F.from_json(F.lit(str(bucket_of)), "array<int>")
-    return docs.withColumn("__bucket", F.element_at(table, cell + 1)).withColumn("__text_key", F.xxhash64("text")), list(range(bucket + 1))
+    docs = docs.withColumn("__text_key", F.xxhash64("text"))
+    slim = common.stored(docs.select(_place().alias("place"), (F.octet_length("text") + 64).cast("long").alias("size")), "fingerprint-places")
+    low, high, total = slim.agg(F.min("place"), F.max("place"), F.sum("size")).first()
+    if low is None:
+        return docs.withColumn("__bucket", F.lit(0)), [0]
+    goal, parts = max(bucket_bytes, -(-total // cells)), cells
+    ranges, heavy = [((_number(low), _number(high) + 1), total)], {0}
+    while heavy:
+        cut = []
+        for i, ((x, y), _) in enumerate(ranges):
+            n = min(y - x, parts) if i in heavy else 1
+            cut += [(x + (y - x) * j // n, x + (y - x) * (j + 1) // n) for j in range(n)]
+        sizes = dict(slim.groupBy(_cell(F.col("place"), [x for x, _ in cut])).agg(F.sum("size")).collect())
+        ranges = [(cut[i], sizes[i]) for i in sorted(sizes)]
+        heavy = {i for i, ((x, y), size) in enumerate(ranges) if size > 2 * goal and y - x > 1}
+        parts = max(2, cells // max(1, len(heavy)))
+    buckets, held = [], 0
+    for (x, _), size in ranges:
+        if not buckets or held + size > goal:
+            buckets.append(x)
+            held = 0
+        held += size
+    common.drop(slim)
+    return docs.withColumn("__bucket", _cell(_place(), buckets)), list(range(len(buckets)))
 
 
 def edited_fingerprints(docs: DataFrame, low: float = 0.001, high: float = 0.1) -> DataFrame:
@@ -133,7 +167,7 @@ def edited_fingerprints(docs: DataFrame, low: float = 0.001, high: float = 0.1)
     placed, buckets = in_order(docs)
     # the first row of every bucket: one text per bucket, of which there are a bounded number
     befores = docs.sparkSession.createDataFrame([(b, (b - 1) % len(buckets)) for b in buckets], "__first int, __before int")
-    key = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "__text_key")
+    key = F.struct(F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.lit(0)).alias("id"), "__text_key")
     lowest = common.stored(placed.groupBy(F.col("__bucket").alias("__first")).agg(F.min(key).alias("__key")).join(F.broadcast(befores), "__first"), "bucket-keys")
     firsts = common.stored(
         placed.withColumn("__key", key).join(F.broadcast(lowest), "__key").groupBy("__before").agg(F.max("text").alias("__first_text")), "bucket-firsts")
