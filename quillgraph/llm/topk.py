@@ -183,7 +183,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, block_terms: int =
 
     A query is the set of its whole text's terms. Documents that share no term with it aren't returned; ties go to the
     smaller doc_id (null first). Null and empty texts match nothing but count for the statistics. Of queries that share
-    an id, equal ones are one and others are merged. An empty table gives an empty result. Queries are dealt to blocks of about
+    an id, equal ones are one and others are merged; a null query_id is one more id. Other columns are ignored. An empty table gives an empty result. Queries are dealt to blocks of about
     ``block_terms`` terms by a hash of their ids; a block is what tasks take along.
     """
     spark = docs.sparkSession
@@ -213,8 +213,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, block_terms: int =
     parts = [spark.createDataFrame([], schema)]
     blocks = -(-n_terms // block_terms)
     for b in range(blocks):
-        got = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").toPandas()
-        block = [(int(q), np.array(t, dtype=np.int64)) for q, t in zip(got["query_id"], got["terms"], strict=True) if len(t)]
+        got = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").toArrow()
+        block = [(q, t.values.to_numpy()) for q, t in zip(got["query_id"].to_pylist(), got["terms"], strict=True) if len(t)]
         if not block:
             continue
         every = np.unique(np.concatenate([t for _, t in block]))
@@ -237,8 +237,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, block_terms: int =
         asks = [(q, t, idf[np.searchsorted(every, t)]) for q, t in block]
         first = F.pmod(F.xxhash64("ids"), F.lit(16)) == 0
         ahead = common.stored(shards.where(first).select(*COLUMNS).mapInArrow(_best(spark, asks, {}, mean, k), schema), "topk-part")
-        floors = ahead.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("at") == k).select("query_id", "score").toPandas()
-        floor = dict(zip(floors["query_id"].tolist(), floors["score"].tolist(), strict=True))
+        floors = ahead.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("at") == k).select("query_id", "score").collect()
+        floor = {r["query_id"]: r["score"] for r in floors}
         parts += [ahead, common.stored(shards.where(~first).select(*COLUMNS).mapInArrow(_best(spark, asks, floor, mean, k), schema), "topk-part")]
     found = parts[0]
     for p in parts[1:]:
