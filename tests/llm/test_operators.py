@@ -57,6 +57,52 @@ def test_fingerprints(docs, empty):
     assert fingerprints.edited_fingerprints(empty).count() == 0
 
 
+def test_fingerprints_in_order_of_any_ids(spark):
+    rng = random.Random(5)
+    ids = [None] * 40 + [-(2**62) - 5, 2**62 + 5, 2**63 - 1, -(2**63)] + list(range(100, 200)) + [7] * 60
+    rows = [(i, prose(30)) for i in ids]
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    placed, buckets = fingerprints.in_order(d, 2000, 64)
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r["__text_key"], r["__bucket"], len(r.text)) for r in placed.collect()))
+    assert [g[3] for g in got] == sorted(g[3] for g in got) and {g[3] for g in got} == set(buckets)
+    sizes = collections.Counter()
+    for g in got:
+        sizes[g[3]] += g[4] + 64
+    assert max(sizes.values()) < 4 * max(2000, sum(sizes.values()) / 64)
+    assert fingerprints.edited_fingerprints(d).count() == len(rows)
+
+
+def test_fingerprints_by_brute_force(spark):
+    import xxhash
+
+    def signed(x):
+        return x - 2**64 if x >= 2**63 else x
+
+    base = [prose(80) for _ in range(12)]
+    texts = [*base, base[0], base[1] + " tail", "", None, "solo"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lexicon = {r.term for r in fingerprints.lexicon(d.fillna(""), 0.1, 0.5).collect()}
+    terms = [{signed(xxhash.xxh64_intdigest(w.encode(), seed=42)) for w in (t or "").lower().split()} for t in texts]
+    df = collections.Counter(h for s in terms for h in s)
+    assert lexicon == {h for h, n in df.items() if max(2, 0.1 * len(texts)) <= n <= max(2, 0.5 * len(texts))}
+    kept = [sorted(s if len(s) < 12 else s & lexicon) for s in terms]
+
+    def likeness(a, b):
+        if kept[a] == kept[b] and (kept[a] or (texts[a] or "") == (texts[b] or "")):
+            return 1.0
+        same = either = 0
+        for tier, (parts, count) in enumerate(fingerprints.TIERS):
+            for k in range(count):
+                x, y = ([h for h in s if ((h % 2**64) >> (3 + 16 * tier)) % parts == k] for s in (kept[a], kept[b]))
+                either += bool(x or y)
+                same += bool(x) and x == y
+        return same / either if either else 0.0
+
+    for r in fingerprints.edited_fingerprints(d, 0.1, 0.5).collect():
+        assert r.near_next == pytest.approx(likeness(r.doc_id, (r.doc_id + 1) % len(texts)), abs=1e-9)
+
+
 def test_licenses(spark, empty):
     texts = ["x\nReleased under the MIT License.\ny", "a license", None, "", "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0.", "plain words"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -76,6 +122,17 @@ def test_licenses_names_and_wrapped_notices(spark):
     assert [(r.doc_id, r.family) for r in found if r.paragraph == wrapped and r.confirmed] == [(7, "mit")]
 
 
+def test_licenses_tell_families_apart(spark):
+    model = licenses.train()
+    assert model["new_wrong"] < 0.15
+    texts = ["Free software foundation news", "Eclipse Public License 2.0", "Redistributions of source code must retain the above copyright notice", licenses.TEMPLATES["bsd"][4],
+             "Licensed under the Mozilla Public License 2.0", "the eclipse was a public event with a license", "word " * 60_000 + "\n" + "SPDX-License-Identifier: Zlib"]
+    d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, family string")
+    got = {r.doc_id: r.family for r in licenses.scan(d.union(d)).collect() if r.confirmed}
+    assert got == {1: "epl-2.0", 2: "bsd", 3: "bsd", 4: "mpl-2.0", 6: "zlib"}
+    assert licenses.scan(d.union(d)).count() == licenses.scan(d).count()
+
+
 def bm25(rows, query, k):
     tf = [collections.Counter((t or "").encode().lower().split()) for _, t in rows]
     size = [sum(c.values()) for c in tf]
@@ -98,6 +155,10 @@ def test_topk(docs, empty):
         if i % 7 == 0:
             assert got.get(i, []) == bm25(rows, t, 5)
     assert topk.search(empty, asked).count() == 0
+    far = docs.where("doc_id = 6").selectExpr("CAST(NULL AS LONG) AS query_id", "text", "'x' AS score").union(docs.where("doc_id = 10").selectExpr("9007199254740993", "text", "'x'"))
+    odd = topk.search(docs, far, 3).collect()
+    assert {r.query_id for r in odd} == {None, 9007199254740993}
+    assert [r.doc_id for r in sorted(odd, key=lambda r: r["rank"]) if r.query_id is None] == [i for i, _ in bm25(rows, BASE, 3)]
     assert topk.search(docs, asked.limit(0)).count() == 0
 
 
@@ -168,6 +229,26 @@ def test_sharding(docs, empty):
     assert sharding.shard(empty, 4).count() == 0
 
 
+def test_sharding_law_with_one_id_for_many(spark):
+    import zlib
+
+    rows = [(5, prose(random.randint(1, 60))) for _ in range(400)] + [(i, prose(30)) for i in range(100)] + [(None, prose(20)) for _ in range(200)] + [(2**63 - 1, "z")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.shard(d, 8).collect()
+    sizes, total = collections.Counter(), 0
+    for r in got:
+        assert r.size == len(r.text.encode()) + 16 and r.text_crc32 == zlib.crc32(r.text.encode())
+        sizes[r.shard] += r.size
+        total += r.size
+    assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) < 0.1 * total / 8
+    place = [(r.doc_id is not None, r.doc_id or 0) for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert place == sorted(place)
+    for s in sizes:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    parts = sharding.shard(d, 8, rows_per_sort=20).collect()
+    assert sorted((r.shard, r.slot) for r in parts) == sorted({(r.shard, r.slot) for r in parts}) and len(parts) == len(rows)
+
+
 def test_suffixes(docs, empty):
     rows, n = all_rows(docs), 200
     held = collections.Counter(b[i : i + n] for _, t in rows for b in [(t or "").encode()] for i in range(len(b) - n + 1))
