@@ -14,7 +14,6 @@ block of any size is dealt out by pairs of chunks.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +37,7 @@ class Words(dict):
     """Hashes of words, bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -199,20 +198,25 @@ def true_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return union.stars()
 
 
-def _runs(batches, key: str):
-    """Batches sorted by ``key``, cut so that no run of equal keys is split; small runs stay together."""
-    held = None
-    for pdf in batches:
-        if not len(pdf):
+def _runs(batches):
+    """Batches sorted by their first column as tables that split no run of equal keys; small runs stay together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-        k = held[key].to_numpy()
-        last = np.flatnonzero(k != k[-1])
-        if len(last):
-            yield held.iloc[: last[-1] + 1]
-            held = held.iloc[last[-1] + 1 :].reset_index(drop=True)
-    if held is not None and len(held):
-        yield held
+        k = batch.column(0).to_numpy()
+        other = np.flatnonzero(k != k[-1])
+        at = int(other[-1]) + 1 if len(other) else 0
+        if at or (held and held[-1].column(0)[0].as_py() != k[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, at)] if at else held).combine_chunks()
+            held = []
+        held.append(batch.slice(at))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns.values()], names=list(columns))
 
 
 def _starts(k: np.ndarray) -> np.ndarray:
@@ -280,15 +284,16 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 8000,
             at = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
             sizes = np.diff(np.r_[at, len(sig)])
             block = _mix(np.add.reduceat(_mix(node.view(np.uint64)), at) + sizes.astype(np.uint64) * _A)
-            return pd.DataFrame({"node": node, "block": np.repeat(block.view(np.int64), sizes)})[np.repeat(sizes > 1, sizes)]
+            several = np.repeat(sizes > 1, sizes)
+            return _batch(node=node[several], block=np.repeat(block.view(np.int64), sizes)[several])
 
-        for pdf in batches:
-            sig, node = np.r_[sig, pdf["sig"].to_numpy()], np.r_[node, pdf["node"].to_numpy()]
+        for batch in batches:
+            sig, node = np.r_[sig, batch.column(1).to_numpy()], np.r_[node, batch.column(0).to_numpy()]
             new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])][: len(sig)]  # copies have the same rows
             sig, node = sig[new], node[new]
             if out is not None and len(sig):
                 n = int(np.argmax(np.r_[sig != out, True]))
-                yield pd.DataFrame({"node": node[:n], "block": sig[:n]})
+                yield _batch(node=node[:n], block=sig[:n])
                 sig, node, out = sig[n:], node[n:], out if n == len(sig) else None
             if not len(sig):
                 continue
@@ -298,20 +303,20 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 8000,
                 yield closed(sig[:at], node[:at])
             sig, node = sig[at:], node[at:]
             if len(sig) > chunk:
-                yield pd.DataFrame({"node": node, "block": sig})
+                yield _batch(node=node, block=sig)
                 out, sig, node = sig[0], sig[:0], node[:0]
         if len(sig):
             yield closed(sig, node)
 
     rows = known.select("node", F.explode("sigs").alias("sig")).repartition("sig").sortWithinPartitions("sig", "node")
-    members = common.stored(rows.mapInPandas(common.returning(shared), "node long, block long").distinct(), "jaccard-blocks")
+    members = common.stored(rows.mapInArrow(common.returning(shared), "node long, block long").distinct(), "jaccard-blocks")
     points = known.groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec")).join(members.select("node").distinct(), "node", "left_semi")
     blocks = _dealt(members.join(points, "node"), "block", "node", 2 * chunk)
 
     def hull_links(batches):
-        for pdf in _runs(batches, "__deal"):
-            cuts = _starts(pdf["__deal"].to_numpy())
-            vec, n, node = [np.frombuffer(v, dtype=np.uint8) for v in pdf["vec"]], pdf["n"].to_numpy(), pdf["node"].to_numpy()
+        for t in _runs(batches):
+            cuts, node, n = _starts(t["__deal"].to_numpy()), t["node"].to_numpy(), t["n"].to_numpy()
+            vec = [np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in t["vec"]]
             dims, many, out = np.array([len(v) for v in vec]), np.diff(cuts), [(node[:0], node[:0])]
             two = cuts[:-1][many == 2]
             for d in np.unique(dims[two]):
@@ -328,9 +333,10 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 8000,
                 if found:
                     x = np.array(found)
                     out.append((node[a:b][x[:, 0]], node[a:b][x[:, 1]]))
-            yield pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([x for _, x in out])}).drop_duplicates()
+            pairs = np.unique(np.stack([np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])], axis=1), axis=0)
+            yield _batch(a=pairs[:, 0], b=pairs[:, 1])
 
-    hull_edges = blocks.select("__deal", "node", "n", "vec").repartition("__deal").sortWithinPartitions("__deal").mapInPandas(common.returning(hull_links), "a long, b long")
+    hull_edges = blocks.select("__deal", "node", "n", "vec").repartition("__deal").sortWithinPartitions("__deal").mapInArrow(common.returning(hull_links), "a long, b long")
     hulls = common.components(hull_edges.where("a <> b"), "jaccard-hulls").withColumnsRenamed({"id": "node", "component": "hull"})
     chosen = known.select("node", "doc_id", "text_hash").join(hulls, "node").groupBy("node", "hull").agg(F.min(row).alias("__row"))
     chosen = common.stored(chosen.select("node", "hull", F.col("__row.doc_id").alias("__id"), F.col("__row.text_hash").alias("__hash")), "jaccard-chosen")
@@ -359,14 +365,16 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 8000,
     dealt = _dealt(sets, "hull", "node", chunk)
 
     def links(batches):
-        for pdf in _runs(batches, "__deal"):
-            cuts, node, out = _starts(pdf["__deal"].to_numpy()), pdf["node"].to_numpy(), []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                found = true_links([np.asarray(x, dtype=np.int64).view(np.uint64) for x in pdf["set"].iloc[a:b]], percent) if b - a > 1 else []
-                out += [(node[a + i], node[a + j]) for i, j in found]
-            yield pd.DataFrame(out, columns=["a", "b"])
-
-    edges = dealt.select("__deal", "node", "set").repartition("__deal").sortWithinPartitions("__deal").mapInPandas(common.returning(links), "a long, b long")
+        for t in _runs(batches):
+            cuts, node, sets, left, right = _starts(t["__deal"].to_numpy()), t["node"].to_numpy(), t["set"], [], []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if b - a > 1:
+                    for i, j in true_links([x.values.to_numpy().view(np.uint64) for x in sets.slice(a, b - a)], percent):
+                        left.append(node[a + i])
+                        right.append(node[a + j])
+            yield _batch(a=left, b=right)
+
+    edges = dealt.select("__deal", "node", "set").repartition("__deal").sortWithinPartitions("__deal").mapInArrow(common.returning(links), "a long, b long")
     parts = common.components(edges, "jaccard-links")
     common.drop(sets)
     named = nodes.join(parts, nodes["node"] == parts["id"], "left").select("node", "rep", F.coalesce("component", "node").alias("part"))
@@ -381,3 +389,15 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 8000,
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.table(spark, sf_dir, "documents"))
+
+
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {common.WORDS_SQL} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s FROM d),
+x AS (SELECT doc_id, unnest(s) AS g FROM s), n AS (SELECT doc_id, len(s) AS n FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 90 * (na.n + nb.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.c) AS component_id FROM n JOIN r ON r.id = n.doc_id GROUP BY 1, 2
+"""
