@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: A word is a run of other bytes than ASCII white space; ``bytes.split()`` follows the same rule.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: The words of ``text``, A-Z lowered, as a DuckDB list.
+WORDS_SQL = (
+    "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +42,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Let Spark hand Python workers at most ``most`` bytes at once (64 MB by default, of which each side holds copies).
 
     Results don't depend on it. A smaller setting of the session's is left alone.
@@ -61,6 +64,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def told_apart(df: DataFrame, key: str, other: str) -> DataFrame:
+    """``df`` with ``key``, a 64-bit hash, changed where unlike values share it, as ``other``, a second hash, tells.
+
+    Among 10^10 values a few keys are shared by chance; their number is about the square of that by 2^65, so they may be
+    broadcast. ``other`` is dropped.
+    """
+    shared = df.groupBy(key).agg(F.min(other).alias("lo"), F.max(other).alias("hi")).where("lo <> hi").select(F.col(key).alias("__shared"))
+    shared = stored(shared, "shared-keys")
+    if shared.isEmpty():
+        return df.drop(other)
+    out = df.join(F.broadcast(shared), F.col(key) == F.col("__shared"), "left")
+    return out.withColumn(key, F.when(F.col("__shared").isNotNull(), F.xxhash64(key, other)).otherwise(F.col(key))).drop("__shared", other)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete stored tables that no plan needs any more."""
     for df in tables:
