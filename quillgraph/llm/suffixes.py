@@ -2,8 +2,8 @@
 
 Only suffixes at anchors are sorted: an anchor is a place whose k-gram has the least hash of some window of ``length``
 bytes, so equal windows have equal anchors at equal places and no repeat is missed. Anchors whose k-gram occurs once are
-dropped. The others' suffixes are sorted in runs, cut at common splitters, front-coded and exchanged; each range's
-runs are merged by a loser tree that keeps every contender's common prefix with the last winner, so known prefixes
+dropped. The others' suffixes are sorted in runs, cut at common splitters, front-coded and exchanged, of places whose
+surroundings a run holds several times only one; each range's runs are merged by a loser tree that keeps every contender's common prefix with the last winner, so known prefixes
 are never compared again. Suffixes that share an anchor's k-gram come out side by side; which of their windows are
 equal, to the left and right of the anchor, is then decided offset by offset.
 """
@@ -66,8 +66,9 @@ def gram_keys(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return key.view(np.int64), head.view(np.int64)
 
 
-def front_code(rights: np.ndarray, right_len: np.ndarray, lefts: list[bytes], text: np.ndarray, pos: np.ndarray) -> bytes:
-    """A sorted run as bytes: for each suffix its common prefix with the one before and what follows it."""
+def front_code(rights: np.ndarray, right_len: np.ndarray, lefts: list[bytes], text: np.ndarray, pos: np.ndarray, times: np.ndarray) -> bytes:
+    """A sorted run as bytes: for each suffix its common prefix with the one before and what follows it; ``times`` is the
+    number of places (2: two or more) of the run with these surroundings that a suffix stands for."""
     same = np.zeros(len(rights), dtype=np.int64)
     if len(rights) > 1:
         differs = rights[1:] != rights[:-1]
@@ -75,25 +76,25 @@ def front_code(rights: np.ndarray, right_len: np.ndarray, lefts: list[bytes], te
         same[1:] = np.minimum(same[1:], np.minimum(right_len[1:], right_len[:-1]))
     rests = [r.tobytes()[s:n] for r, s, n in zip(rights, same.tolist(), right_len.tolist(), strict=True)]
     heads = struct.pack("<I", len(rests))
-    columns = [same.astype("<u2"), right_len.astype("<u2"), np.array([len(x) for x in lefts], dtype="<u2"), text.astype("<i8"), pos.astype("<i8")]
+    columns = [same.astype("<u2"), right_len.astype("<u2"), np.array([len(x) for x in lefts], dtype="<u2"), text.astype("<i8"), pos.astype("<i8"), times.astype("<u2")]
     return b"".join([heads, *[c.tobytes() for c in columns], *rests, *lefts])
 
 
 def decode(blob: bytes):
-    """Suffixes of a run in order: (common prefix with the one before, right, left, text, place)."""
+    """Suffixes of a run in order: (common prefix with the one before, right, left, text, place, times)."""
     (n,), at = struct.unpack_from("<I", blob), 4
     columns = []
-    for kind, size in (("<u2", 2), ("<u2", 2), ("<u2", 2), ("<i8", 8), ("<i8", 8)):
+    for kind, size in (("<u2", 2), ("<u2", 2), ("<u2", 2), ("<i8", 8), ("<i8", 8), ("<u2", 2)):
         columns.append(np.frombuffer(blob, dtype=kind, count=n, offset=at).tolist())
         at += n * size
-    same, right_len, left_len, text, pos = columns
+    same, right_len, left_len, text, pos, times = columns
     left_at = at + sum(right_len) - sum(same)
     right = b""
     for i in range(n):
         more = right_len[i] - same[i]
         right = right[: same[i]] + blob[at : at + more]
         at += more
-        yield same[i], right, blob[left_at : left_at + left_len[i]], text[i], pos[i]
+        yield same[i], right, blob[left_at : left_at + left_len[i]], text[i], pos[i], times[i]
         left_at += left_len[i]
 
 
@@ -112,7 +113,7 @@ def common_prefix(a: bytes, b: bytes, known: int) -> int:
 
 
 def merge(blobs: list[bytes]):
-    """Merged suffixes of sorted runs: (common prefix with the suffix before, right, left, text, place).
+    """Merged suffixes of sorted runs: (common prefix with the suffix before, right, left, text, place, times).
 
     A loser tree; a contender's known prefix is the one it shares with the last winner. Of two contenders with unequal
     known prefixes the longer wins unseen; equal ones are compared from there on, and the loser keeps what they share.
@@ -199,20 +200,44 @@ def repeats(docs: DataFrame, length: int = 200, per_range: int = 60_000) -> Data
     text_key identifies a text; equal texts are one text here (their caller knows that all of them repeats).
     """
     docs = docs.where(F.octet_length("text") >= length)
-    kinds = "key long, head long, text_key long, pos long"
+    kinds = "key long, head long, text_key long, pos long, state int"
 
     def place(batches):
+        """Anchors with their k-gram's hash. Those that share it with another one nearby are known to stay (state 2); a
+        single one must meet others (1), and of those known one more row tells the others so (0)."""
+        met, rows, n = set(), [], 0
+
+        def flush():
+            key, head, text, pos = (np.concatenate([r[i] for r in rows]) for i in range(4))
+            order = np.argsort(key, kind="stable")
+            key, head, text, pos = key[order], head[order], text[order], pos[order]
+            same = key[1:] == key[:-1]
+            many = np.r_[False, same] | np.r_[same, False]
+            tells = np.flatnonzero(np.r_[True, ~same] & many)
+            at = np.r_[np.arange(len(key)), tells]
+            state = np.r_[np.where(many, 2, 1), np.zeros(len(tells), dtype=np.int64)].astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(c[at]) for c in (key, head, text, pos)] + [pa.array(state)], names=["key", "head", "text_key", "pos", "state"])
+
         for batch in batches:
-            out = []
             for t, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if t in met:  # a copy
+                    continue
+                met.add(t)
                 raw = np.frombuffer(x.as_buffer(), dtype=np.uint8)
-                at = anchors(raw, length)
-                out.append((*gram_keys(raw, at), np.full(len(at), t, dtype=np.int64), at.astype(np.int64)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[i] for r in out])) for i in range(4)], names=["key", "head", "text_key", "pos"])
+                every = anchors(raw, length)
+                for i in range(0, len(every), RUN):
+                    at = every[i : i + RUN]
+                    rows.append((*gram_keys(raw, at), np.full(len(at), t, dtype=np.int64), at.astype(np.int64)))
+                    n += len(at)
+                    if n > 16 * RUN:
+                        yield flush()
+                        rows, n = [], 0
+        if rows:
+            yield flush()
 
     def shared(batches):
         held, matched = None, False
+        out_of = lambda pdf: pdf.loc[pdf["state"] == 1, ["head", "text_key", "pos"]]
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
@@ -223,13 +248,16 @@ def repeats(docs: DataFrame, length: int = 200, per_range: int = 60_000) -> Data
                 pdf, k = pdf[new], k[new]
             same = k[1:] == k[:-1]
             out = np.r_[matched, same] | np.r_[same, False]
-            yield pdf.loc[:, ["head", "text_key", "pos"]][:-1][out[:-1]]
+            yield out_of(pdf[:-1][out[:-1]])
             held, matched = pdf.iloc[-1:], bool(out[-1])
         if matched:
-            yield held.loc[:, ["head", "text_key", "pos"]]
+            yield out_of(held)
 
-    placed = docs.select("text_key", "text").mapInArrow(common.returning(place), kinds).repartition("key").sortWithinPartitions("key", "text_key", "pos")
-    held = common.stored(placed.mapInPandas(common.returning(shared), "head long, text_key long, pos long"), "suffix-anchors")
+    places = common.stored(docs.mapInArrow(common.returning(place), kinds), "suffix-places")
+    placed = places.where("state < 2").repartition("key").sortWithinPartitions("key", "text_key", "pos", "state")
+    met = placed.mapInPandas(common.returning(shared), "head long, text_key long, pos long")
+    held = common.stored(met.unionByName(places.where("state = 2").select("head", "text_key", "pos")), "suffix-anchors")
+    common.drop(places)
     ranges = max(1, -(-held.count() // per_range))
     cuts = held.agg(F.percentile_approx("head", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0] or []
     cuts = np.unique(np.array(cuts if ranges > 1 else [], dtype=np.int64))
@@ -237,23 +265,35 @@ def repeats(docs: DataFrame, length: int = 200, per_range: int = 60_000) -> Data
 
     def cut_runs(batches):
         rows: list[tuple] = []
-        met, n = set(), 0
+        met, n, turn = set(), 0, 0
 
         def flush():
+            """Runs by range, and the spans of places whose surroundings the run holds twice: of those, one goes on."""
+            nonlocal turn
             rights, sizes, lefts, text, pos, head = (np.concatenate([r[i] for r in rows]) if i != 2 else [x for r in rows for x in r[2]] for i in range(6))
-            order = np.argsort(rights.view(f"S{length}").ravel(), kind="stable")
+            marks: dict[bytes, int] = {}
+            of = np.array([marks.setdefault(xxhash.xxh3_128_digest(left + right.tobytes(), seed=len(left) * 65536 + n), i) for i, (left, right, n) in enumerate(zip(lefts, rights, sizes.tolist(), strict=True))])
+            times = np.minimum(np.bincount(of, minlength=len(of)), 2)
+            left_len = np.array([len(x) for x in lefts], dtype=np.int64)
+            twice = np.flatnonzero((times[of] > 1) & (left_len + sizes >= length))
+            ready = np.concatenate([text[twice], (pos - left_len)[twice], (pos + sizes)[twice]]).astype("<i8").tobytes()
+            keep = np.flatnonzero(of == np.arange(len(of)))
+            order = keep[np.argsort(rights[keep].view(f"S{length}").ravel(), kind="stable")]
             part = np.searchsorted(cuts, head[order], side="right")
             at = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
-            got = [(int(part[a]), front_code(rights[o], sizes[o], [lefts[i] for i in o], text[o], pos[o])) for a, b in zip(at[:-1], at[1:], strict=True) for o in [order[a:b]]]
+            got = [(int(part[a]), front_code(rights[o], sizes[o], [lefts[i] for i in o], text[o], pos[o], times[o]), None) for a, b in zip(at[:-1], at[1:], strict=True) for o in [order[a:b]]]
+            if ready:
+                got.append((turn % (len(cuts) + 1), None, ready))  # dealt out, whatever their range
+                turn += 1
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["part", "run"])
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in got], pa.int32()), *(pa.array([g[i] for g in got], pa.binary()) for i in (1, 2))], names=["part", "run", "ready"])
 
         for batch in batches:
             for t, x, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if t in met:  # a copy of a text that has been handled
                     continue
                 met.add(t)
-                every = np.sort(places.values.to_numpy())
+                every = np.unique(places.values.to_numpy())
                 raw = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint8), np.zeros(length, dtype=np.uint8)])
                 body = raw.tobytes()
                 for i in range(0, len(every), RUN):
@@ -268,7 +308,7 @@ def repeats(docs: DataFrame, length: int = 200, per_range: int = 60_000) -> Data
             yield flush()
 
     wanted = held.groupBy(F.col("text_key").alias("__key")).agg(F.collect_list("pos").alias("places"))
-    runs = docs.join(wanted, F.col("text_key") == F.col("__key")).select("text_key", "text", "places").mapInArrow(common.returning(cut_runs), "part int, run binary")
+    runs = docs.join(wanted, F.col("text_key") == F.col("__key")).select("text_key", "text", "places").mapInArrow(common.returning(cut_runs), "part int, run binary, ready binary")
 
     def merged(batches):
         def spans(blobs):
@@ -303,7 +343,7 @@ def repeats(docs: DataFrame, length: int = 200, per_range: int = 60_000) -> Data
                         around = bytearray()
                         for c in (groups, lefts, rights, times, member, text, pos):
                             del c[:]
-                elif last[3:] == x[3:]:
+                elif last[3:5] == x[3:5]:
                     continue
                 last = x
                 row = x[2].rjust(reach, b"\0") + x[1].ljust(length, b"\0")
@@ -314,7 +354,7 @@ def repeats(docs: DataFrame, length: int = 200, per_range: int = 60_000) -> Data
                     around += row
                     for c, v in zip((groups, lefts, rights, times), (group, len(x[2]), len(x[1]), 0), strict=True):
                         c.append(v)
-                times[at] += 1
+                times[at] += x[5]
                 member.append(at)
                 text.append(x[3])
                 pos.append(x[4])
@@ -324,7 +364,11 @@ def repeats(docs: DataFrame, length: int = 200, per_range: int = 60_000) -> Data
 
         part, blobs = None, []
         for batch in batches:
-            for p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for p, b, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if b is None:
+                    text, start, end = np.frombuffer(r.as_buffer(), dtype="<i8").reshape(3, -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (text, start, end)], names=["text_key", "start", "end"])
+                    continue
                 if p != part and blobs:
                     yield from spans(blobs)
                     blobs = []
@@ -347,7 +391,8 @@ def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
     bytes nothing is left, whatever their doc_ids; nulls and repeats in other columns don't matter. An empty
     table gives an empty result. Other columns are carried along; of names that clash, the added column wins.
     """
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    whole = F.coalesce("text", F.lit(""))
+    keyed = common.told_apart(docs.withColumns({"__key": F.xxhash64(whole), "__other": F.xxhash64(F.lit(7), whole)}), "__key", "__other")
     slim = keyed.select(F.col("__key").alias("text_key"), "text")
     spans = repeats(slim, length).groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     copies = keyed.where(F.octet_length("text") >= length).groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("__key").alias("text_key"), F.lit(True).alias("copied"))
@@ -376,3 +421,18 @@ def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+m AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+o AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM m),
+g AS (SELECT doc_id, i, sum((p IS NULL OR i - p > 200)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM o),
+c AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS r FROM g GROUP BY doc_id, g),
+v AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM c GROUP BY 1),
+k AS (SELECT c.doc_id, a, coalesce(lag(b) OVER (PARTITION BY c.doc_id ORDER BY a), 0) AS from_, a AS to_ FROM c UNION ALL SELECT doc_id, 1000000000000, max(b), NULL FROM c GROUP BY 1),
+t AS (SELECT k.doc_id, string_agg(substr(h, 2 * from_ + 1, 2 * (coalesce(to_, n) - from_)), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(v.removed, 0)::BIGINT AS n_removed, coalesce(v.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t.kept, d.h))) AS kept_sha256
+FROM d LEFT JOIN v USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
