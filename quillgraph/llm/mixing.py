@@ -39,17 +39,18 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     return holds.select("source", "source_size", target.alias("target"))
 
 
-def decide(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix", share: float = 1.5, most: float = 2.0, most_broadcast: int = 200_000) -> DataFrame:
+def decide(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix", share: float = 1.5, most: float = 2.0, most_broadcast: int = 32 << 20) -> DataFrame:
     """What the mix takes of each row of ``docs(doc_id, text, source, ...)``: doc_id, size, source_size, target, taken and
-    two hashes of the row (``__a``, ``__b``). Texts are scanned once and never shuffled.
+    two hashes of the row (``__a``, ``__b``). Texts are scanned once and never shuffled. Sources' targets are broadcast if
+    they take ``most_broadcast`` bytes at most, and joined by shuffle beyond.
 
     size: words of the text (null: 0). taken: words that the mix takes of the document, repeats counted; the document
     at which a target is reached gives the words still wanted, so every source meets its target to a word.
     ``quality(doc_id, weight)`` scales the keys (default 1); of several weights of a doc_id the largest counts.
-    Sources may be null; documents without words take nothing; repeated rows are told apart by their text and, if all
-    is equal, by nothing, so which of them is taken doesn't matter. An empty table gives an empty result.
+    Sources may be null; documents without words take nothing; rows of one doc_id (or none) are told apart by their text
+    and source and, if all is equal, by nothing, so which of them is taken doesn't matter. An empty table gives an empty result.
     """
-    unit = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    unit = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text").cast("string")).cast("binary"))
     uniform = (F.conv(F.substring(unit, 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
     slim = docs.select("doc_id", "source", common.word_count("text").alias("size"), uniform.alias("__unit"), *row_hashes())
     if quality is not None:
@@ -63,41 +64,47 @@ def decide(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix",
     buckets = sized.groupBy("source", "__bucket").agg(F.sum("size").alias("__size"))
     sources = source_targets(buckets.groupBy("source").agg(F.sum("__size").alias("source_size")), share, most)
     along = Window.partitionBy("source").orderBy("__bucket")
-    state = (
+    ends = (
         buckets.withColumn("__before", F.coalesce(F.sum("__size").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .join(sources.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
         .withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("__rest", F.round(F.col("target") - F.col("__epochs") * F.col("source_size")).cast("long"))
-        .withColumn("__crosses", (F.col("__before") < F.col("__rest")) & (F.col("__rest") < F.col("__before") + F.col("__size")))
-        .select(F.col("source").alias("__source"), F.col("__bucket").alias("__b"), "__before", "__size", "source_size", "target", "__epochs", "__rest", "__crosses")
     )
-    state = common.stored(state.withColumnRenamed("__b", "__of_bucket"), "mix-buckets")  # at most BUCKETS rows a source
-    near = F.broadcast(state) if state.count() <= most_broadcast else state
-    joined = sized.join(near, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__bucket") == F.col("__of_bucket")))
-    whole = joined.where(~F.col("__crosses")).withColumn(
-        "taken", F.col("size") * (F.col("__epochs") + F.when(F.col("__before") + F.col("__size") <= F.col("__rest"), 1).otherwise(0)))
+    # a row a source: its target and the last bucket of which anything is taken beyond whole epochs
+    last = F.max(F.when(F.col("__before") < F.col("__rest"), F.struct(F.col("__bucket").alias("bucket"), F.col("__before").alias("before"), F.col("__size").alias("size"))))
+    state = common.stored(ends.groupBy(F.col("source").alias("__source")).agg(*[F.first(c).alias(c) for c in ("source_size", "target", "__epochs", "__rest")], last.alias("__last")), "mix-sources")
+    bytes_ = state.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("__source"), F.lit(0)) + 100), F.lit(0))).first()[0]
+    near = F.broadcast(state) if bytes_ <= most_broadcast else state
+    joined = sized.join(near, F.col("source").eqNullSafe(F.col("__source")))
+    at, end = F.col("__last.bucket"), F.col("__last.before") + F.col("__last.size")
+    crosses = F.coalesce((F.col("__bucket") == at) & (F.col("__rest") < end), F.lit(False))
+    whole = joined.where(~crosses).withColumn("taken", F.col("size") * (F.col("__epochs") + F.coalesce((F.col("__bucket") <= at).cast("long"), F.lit(0))))
     in_bucket = Window.partitionBy("source", "__bucket").orderBy("__key", "doc_id", "__a").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("__rest") - F.col("__before") - F.coalesce(F.sum("size").over(in_bucket), F.lit(0))
-    cut = joined.where("__crosses").withColumn("taken", F.col("size") * F.col("__epochs") + F.greatest(F.lit(0), F.least(F.col("size"), left)))
+    left = F.col("__rest") - F.col("__last.before") - F.coalesce(F.sum("size").over(in_bucket), F.lit(0))
+    cut = joined.where(crosses).withColumn("taken", F.col("size") * F.col("__epochs") + F.greatest(F.lit(0), F.least(F.col("size"), left)))
     return whole.unionByName(cut).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "__a", "__b")
 
 
 def row_hashes() -> list[Column]:
-    """96 bits that identify a row by its doc_id and text."""
-    return [F.xxhash64("doc_id", "text").alias("__a"), F.hash("text", "doc_id").alias("__b")]
+    """96 bits that identify a row by its doc_id, text and source."""
+    return [F.xxhash64("doc_id", "text", "source").alias("__a"), F.hash("text", "source", "doc_id").alias("__b")]
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``taken`` (see ``decide``); texts are shuffled once.
 
-    Extra columns are kept; of names that clash with added ones, the added column wins.
+    Rows equal in doc_id, text and source share their decisions by number: such rows have few unlike ones, which are kept
+    with the number of rows up to them. Extra columns are kept; of names that clash with added ones, the added column wins.
     """
     added = ["size", "source_size", "target", "taken"]
-    made = decide(docs, quality, **options).groupBy("__a", "__b").agg(F.array_sort(F.collect_list(F.struct(*added))).alias("__made"))
+    made = decide(docs, quality, **options).groupBy("__a", "__b", *added).agg(F.count("*").alias("n"))
+    made = made.groupBy("__a", "__b").agg(F.array_sort(F.collect_list(F.struct(*added, "n"))).alias("__made"))
+    up_to = F.transform("__made", lambda x, i: F.struct(*[x[c].alias(c) for c in added], F.aggregate(F.slice("__made", F.lit(1), i + 1), F.lit(0).cast("long"), lambda n, y: n + y["n"]).alias("up_to")))
     rows = docs.drop(*[c for c in added if c in docs.columns]).select("*", *row_hashes())
     nth = F.row_number().over(Window.partitionBy("__a", "__b").orderBy(F.lit(1)))
-    out = rows.join(made, ["__a", "__b"]).withColumn("__one", F.element_at("__made", nth))
-    return out.select("*", "__one.*").drop("__a", "__b", "__made", "__one")
+    out = rows.join(made.withColumn("__made", up_to), ["__a", "__b"]).withColumn("__nth", nth)
+    out = out.withColumn("__one", F.get(F.filter("__made", lambda x: F.col("__nth") <= x["up_to"]), F.lit(0)))
+    return out.select("*", *[F.col(f"__one.{c}").alias(c) for c in added]).drop("__a", "__b", "__made", "__nth", "__one")
 
 
 def label_quality(labels: DataFrame) -> DataFrame:
