@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op7_warc": warc.ORACLE}
+    return {"op3_topk": topk.ORACLE, "op4_jaccard": jaccard.ORACLE, "op6_suffixes": suffixes.ORACLE, "op7_warc": warc.ORACLE}

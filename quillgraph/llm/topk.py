@@ -250,3 +250,13 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, block_terms: int =
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return search(docs, docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"))
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, {common.WORDS_SQL} AS w FROM documents), t AS (SELECT doc_id, unnest(w) AS w FROM d), tf AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY 1, 2),
+z AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS mean FROM d), f AS (SELECT w, ln(1 + (z.n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, z GROUP BY w, z.n),
+g AS (SELECT tf.doc_id, tf.w, f.idf * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * len(d.w) / z.mean)) AS gain FROM tf JOIN f USING (w) JOIN d USING (doc_id), z),
+s AS (SELECT q.doc_id AS query_id, g.doc_id, round(sum(g.gain), 9) AS score FROM (SELECT doc_id, w FROM tf WHERE doc_id % 100 = 0) q JOIN g USING (w) GROUP BY 1, 2),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, round(score, 6) AS score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
