@@ -133,6 +133,29 @@ def test_licenses_tell_families_apart(spark):
     assert licenses.scan(d.union(d)).count() == licenses.scan(d).count()
 
 
+def test_licenses_by_brute_force(spark):
+    import numpy as np
+
+    model = licenses.train()
+    rng = random.Random(41)
+    pool = [t for ts in licenses.TEMPLATES.values() for t in ts] + licenses.UNKNOWN
+    texts = [" ".join(w for w in rng.choice(pool).split() if rng.random() > 0.2) + rng.choice(["", " " + prose(8)]) for _ in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    at, sole = {g: i for i, g in enumerate(model["grams"])}, licenses.specific()
+    for r in licenses.scan(d).collect():
+        grams = licenses.grams_of(r.paragraph)
+        hits = [at[g] for g in grams if g in at]
+        z = model["weights"][hits].astype(float).sum(0) / np.sqrt(max(1, len(hits))) + model["base"].astype(float)
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        best = int(p[:-1].argmax())
+        family = licenses.FAMILIES[best]
+        near = max(len(grams & licenses.grams_of(t)) / min(len(grams), len(licenses.grams_of(t))) for t in licenses.TEMPLATES[family])
+        assert (r.probability, r.unknown_probability, r.similarity) == pytest.approx((p[best], p[-1], near), abs=1e-5)
+        sure = p[best] >= 0.5
+        assert r.family == (family if sure else "unknown") and r.confirmed == (sure and near >= 0.6 and any(sole.get(g) == best for g in grams))
+
+
 def bm25(rows, query, k):
     tf = [collections.Counter((t or "").encode().lower().split()) for _, t in rows]
     size = [sum(c.values()) for c in tf]
@@ -216,6 +239,19 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
+def test_keys_that_clash_are_told_apart(spark):
+    d = spark.createDataFrame([(1, 10, "a"), (1, 10, "a"), (1, 11, "b"), (2, 10, "c")], "k long, o long, t string")
+    got = {(r.t, r.k) for r in common.told_apart(d, "k", "o").collect()}
+    assert len(got) == 3 and len({k for _, k in got}) == 3 and ("c", 2) in got
+    assert common.told_apart(d.where("t <> 'b'"), "k", "o").columns == ["k", "t"]
+
+
+def test_components_with_a_hot_node(spark):
+    e = spark.createDataFrame([(5, 10 + i) for i in range(3000)] + [(10 + i, 5000 + i) for i in range(50)] + [(9000, 9001)], "a long, b long")
+    got = {r.id: r.component for r in common.components(e).collect()}
+    assert set(got.values()) == {5, 9000} and sum(c == 5 for c in got.values()) == 3051
+
+
 def test_sharding(docs, empty):
     got = sharding.shard(docs, 4).collect()
     assert sorted(r.doc_id for r in got) == sorted(i for i, _ in all_rows(docs))
@@ -266,13 +302,33 @@ def test_suffixes(docs, empty):
     assert suffixes.dedup(empty).count() == 0
 
 
+def test_suffixes_of_a_hot_passage(spark, monkeypatch):
+    rng = random.Random(21)
+    word = lambda k: " ".join(rng.choices(VOCABULARY, k=k))
+    passage = word(70)
+    texts = [word(10) + " " + passage + " " + word(12) for _ in range(60)] + [passage] * 25 + [passage + " "] * 3 + [word(60) for _ in range(30)] + ["z" * 1500, "z" * 700 + "y" + "z" * 400]
+    held = collections.Counter(b[i : i + 200] for t in texts for b in [t.encode()] for i in range(len(b) - 199))
+    want = []
+    for i, t in enumerate(texts):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 199):
+            if held[b[p : p + 200]] > 1:
+                gone[p : p + 200] = b"\1" * 200
+        want.append((i, sum(gone), bytes(c for c, g in zip(b, gone, strict=True) if not g)))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    for run in (40, 30_000):
+        monkeypatch.setattr(suffixes, "RUN", run)
+        assert sorted((r.doc_id, r.n_removed, bytes(r.kept)) for r in suffixes.dedup(d).collect()) == want
+
+
 def test_merge_compares_no_known_prefix():
     words = sorted(random.choice(["aa", "ab", "b"]) * random.randint(1, 4) + prose(2) for _ in range(300))
     import numpy as np
 
     def run(part):
         raw = np.array([list(w.encode().ljust(60, b"\0")[:60]) for w in part], dtype=np.uint8)
-        return suffixes.front_code(raw, np.array([min(60, len(w)) for w in part]), [b""] * len(part), np.arange(len(part)), np.arange(len(part)))
+        return suffixes.front_code(raw, np.array([min(60, len(w)) for w in part]), [b""] * len(part), np.arange(len(part)), np.arange(len(part)), np.ones(len(part), dtype=int))
 
     out = list(suffixes.merge([run(words[i::3]) for i in range(3)]))
     assert [x[1] for x in out] == [w.encode()[:60] for w in words]
@@ -338,6 +394,42 @@ def test_quality(spark, docs, empty):
     assert quality.classify(empty, labels).count() == 0
 
 
+def posteriors(rows, prior_of=None):
+    """Quality of (source, lang, evidence) rows by the hierarchical model, in plain Python."""
+    n, total = len(rows), sum(e for *_, e in rows)
+    prior = min(max(total / n, 1e-4), 1 - 1e-4)
+    within = max(sum(e * e for *_, e in rows) / n - prior**2, 1e-9)
+    hosts, sites = collections.defaultdict(list), collections.defaultdict(list)
+    for s, lang, e in rows:
+        hosts[s].append(e)
+        sites[s, lang].append(e)
+    spread = lambda groups: sum(sum(g) ** 2 / len(g) for g in groups.values())
+    strength = lambda groups, between: min(max(prior * (1 - prior) / max(between - within * groups / n, 1e-9) - 1, 1.0), 1e6)
+    host_rows = strength(len(hosts), spread(hosts) / n - prior**2)
+    path_rows = strength(len(sites) - len(hosts), (spread(sites) - spread(hosts)) / n)
+    bound, odds = (lambda p: min(max(p, 1e-6), 1 - 1e-6)), (lambda p: math.log(p / (1 - p)))
+    out = []
+    for s, lang, e in rows:
+        host = bound((sum(hosts[s]) - e + host_rows * prior) / (len(hosts[s]) - 1 + host_rows))
+        path = bound((sum(sites[s, lang]) - e + path_rows * host) / (len(sites[s, lang]) - 1 + path_rows))
+        out.append(1 / (1 + math.exp(-(odds(bound(e)) + odds(path) - odds(prior)))))
+    return out
+
+
+def junk(t):
+    return "!!$$ | " * 30 + (t or "")
+
+
+def test_quality_by_brute_force(docs, spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(17, 57)], "doc_id long, quality int, toxic int")
+    mixed = spark.createDataFrame([(r.doc_id, junk(r.text) if r.doc_id > 16 and r.doc_id % 2 == 0 else r.text, r.lang, r.source, "x") for r in docs.collect()], "doc_id long, text string, lang string, source string, quality string")
+    for most in (100_000, 0):
+        got = quality.classify(mixed, labels, most_sites=most).collect()
+        want = posteriors([(r.source, r.lang, r.evidence) for r in got])
+        assert [r.quality for r in got] == pytest.approx(want, abs=1e-6)
+        assert all(r.keep == (r.quality >= 0.5) for r in got) and 0 < sum(r.keep for r in got) < len(got)
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     assert sorted(r.doc_id for r in got) == sorted(i for i, _ in all_rows(docs))
@@ -362,6 +454,21 @@ def test_mixing(docs, empty):
     assert again == {(r.doc_id, r.taken) for r in got}
 
 
+def test_mixing_of_equal_rows_and_ids(spark):
+    rng = random.Random(31)
+    rows = [(1, "a b c", "s")] * 50 + [(1, "a b c", "t")] * 7 + [(None, " ".join(rng.choices(VOCABULARY, k=rng.randint(1, 9))), rng.choice("st")) for _ in range(80)] + [(None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    for most in (32 << 20, 0):
+        got = mixing.mix(d, most_broadcast=most).collect()
+        assert sorted(map(repr, rows)) == sorted(repr((r.doc_id, r.text, r.source)) for r in got)
+        taken, targets = collections.Counter(), {}
+        for r in got:
+            assert 0 <= r.taken <= 2 * r.size
+            taken[r.source] += r.taken
+            targets[r.source] = r.target
+        assert all(abs(taken[s] - targets[s]) <= 0.5 for s in targets)
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 
@@ -381,6 +488,90 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept["pieces"].count()
 
 
+def test_pipeline_by_brute_force(spark, tmp_path):
+    import sentencepiece
+
+    import corpus_pipeline
+
+    rng = random.Random(51)
+    word = lambda k: " ".join(rng.choices(VOCABULARY, k=k))
+    passage = word(60)
+    texts = [word(90) for _ in range(30)]
+    texts += [t + " tail" for t in texts[:6]] + texts[6:9] + [word(20) + " " + passage + " " + word(20) for _ in range(4)] + [None, "", "one", "é" * 300] + [junk(word(5)) for _ in range(20)]
+    ids = [None if i in (3, 40) else 9 if i in (11, 12) else i for i in range(len(texts))]
+    rows = [(i, t, ["en", "de"][k % 2], [f"h{k % 3}", None][k % 7 == 0], len(t or "")) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    good = [(i, int(not (t or "").startswith("!!")), 0) for i, t in zip(ids, texts, strict=True) if i is not None and i % 2]
+    spark.createDataFrame(good, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now, labels = spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "labels.parquet"))
+    as_list = lambda df: sorted(map(repr, ((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in df.collect())))
+    for name, stage in corpus_pipeline.STAGES:
+        before = now.collect()
+        now = common.stored(stage(spark, now, str(tmp_path)), "test")
+        if name == "quality":
+            scored = quality.evidence(spark.createDataFrame(before), quality.train(spark.createDataFrame(before), labels)).collect()
+            keep = [p >= 0.5 for p in posteriors([(r.source, r.lang, r.evidence) for r in scored])]
+            assert as_list(now) == sorted(repr((r.doc_id, r.text, r.lang, r.source, r.n_chars)) for r, k in zip(scored, keep, strict=True) if k) and not all(keep)
+        elif name == "near_copies":
+            def shingled(t):
+                w = (t or "").encode().lower().split()
+                return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+            sets, up = [shingled(r.text) for r in before], list(range(len(before)))
+            for i in range(len(before)):
+                for j in range(i):
+                    if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                        up = [up[j] if u == up[i] else u for u in up]
+            groups = collections.defaultdict(list)
+            for r, u in zip(before, up, strict=True):
+                groups[u].append(r)
+            left = {(r.doc_id, r.text) for r in now.collect()}
+            assert now.count() == len(groups) < len(before)
+            for g in groups.values():
+                named = [r for r in g if r.doc_id is not None]
+                least = min(r.doc_id for r in named) if named else None
+                assert {(r.doc_id, r.text) for r in g} & left <= {(r.doc_id, r.text) for r in g if r.doc_id == least} and len({(r.doc_id, r.text) for r in g} & left) == 1
+        elif name == "repeats":
+            held = collections.Counter(b[i : i + 200] for r in before for b in [(r.text or "").encode()] for i in range(len(b) - 199))
+            want = []
+            for r in before:
+                b = (r.text or "").encode()
+                gone = bytearray(len(b))
+                for p in range(len(b) - 199):
+                    if held[b[p : p + 200]] > 1:
+                        gone[p : p + 200] = b"\1" * 200
+                kept = bytes(c for c, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
+                want.append(repr((r.doc_id, None if r.text is None else kept, r.lang, r.source, None if r.text is None else len(kept))))
+            assert as_list(now) == sorted(want) and passage not in "".join(r.text or "" for r in now.collect())
+        elif name == "mixing":
+            sizes, weight, times = collections.Counter(), {}, collections.Counter(repr((r.doc_id, r.text)) for r in now.collect())
+            for r in before:
+                sizes[r.source] += len((r.text or "").split())
+            weight = dict(zip(sorted(sizes, key=lambda s: (s is None, s)), [5, 2, 1] * 9, strict=False))
+            left, open_, target = 1.5 * sum(sizes.values()), set(sizes), {}
+            while open_:
+                full = {s for s in open_ if left / sum(weight[x] for x in open_) * weight[s] > 2 * sizes[s]}
+                share = left / sum(weight[s] for s in open_)
+                for s in full or open_:
+                    target[s] = 2 * sizes[s] if full else share * weight[s]
+                left, open_ = left - sum(target[s] for s in full), open_ - full if full else set()
+            got = collections.Counter()
+            for r in now.collect():
+                got[r.source] += len((r.text or "").split())
+            for s in sizes:
+                low, most = math.floor(target[s] / sizes[s]) if sizes[s] else 1, max(len((r.text or "").split()) for r in before if r.source == s)
+                assert abs(got[s] - target[s]) <= most / 2 + 1
+                assert all(low <= times[repr((r.doc_id, r.text))] <= low + 1 for r in before if r.source == s and (r.text or "").split())
+        else:
+            ref = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+            assert sorted((repr(r.doc_id), list(r.ids)) for r in now.collect()) == sorted((repr(r.doc_id), ref.encode(r.text or "")) for r in before)
+    assert sorted(map(repr, now.collect())) == sorted(map(repr, corpus_pipeline.run(spark, str(tmp_path)).collect()))
+    none = tmp_path / "none"
+    spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0).write.parquet(str(none / "documents.parquet"))
+    labels.write.parquet(str(none / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(none)).count() == 0
+
+
 def test_near_copies_keep_rows_of_null_and_repeated_ids(spark):
     import corpus_pipeline
 
