@@ -46,8 +46,11 @@ STALE_DECAY = 0.7
 
 @dataclass
 class CodeGraph:
+    """``impact`` is what ``impact_edges`` derives, where a snapshot keeps it."""
+
     nodes: DataFrame
     edges: DataFrame
+    impact: DataFrame | None = None
 
 
 def _case(of: str, pairs) -> Column:
@@ -87,6 +90,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names for the driver and all executors; a temporary one only if it names none."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -102,11 +107,18 @@ def settled(df: DataFrame) -> DataFrame:
 
 def impact_edges(graph: CodeGraph) -> DataFrame:
     """Edges that impact follows, between nodes that it counts."""
+    if graph.impact is not None:
+        return graph.impact
     ok = graph.nodes.where(~F.col("kind").isin(NOT_IMPACT_NODES)).select("id")
     e = graph.edges.where(F.col("kind").isin(IMPACT_KINDS))
     return e.join(ok.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ok.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
 
 
+def by_target(edges: DataFrame) -> DataFrame:
+    """Edges as a table in order of ``to_id``, so that a scan for a few targets skips most of it."""
+    return settled(edges.repartitionByRange("to_id").sortWithinPartitions("to_id"))
+
+
 def register(spark: SparkSession, sf_dir: str, names: list[str]) -> None:
     for name in names:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)

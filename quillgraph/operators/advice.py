@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import spans
 from ..functions import text as T
-from ..model import CodeGraph
+from ..model import CodeGraph, settled
 from . import analysis, traverse
 
 #: Caps that are tried, shares of all edges (percent), markers of generated files.
@@ -57,6 +58,11 @@ def generated_files(nodes: DataFrame, sources: DataFrame, k: int = 10) -> DataFr
     return per.where("code").join(marked, "file").select("file", "marker", "symbols").orderBy(F.desc("symbols"), "file").limit(k)
 
 
+def verified(least: float = 0.7) -> Column:
+    """Whether an edge is sure: by stored confidence, and not a guess."""
+    return (F.col("confidence") >= F.lit(least).cast("float")) & F.col("origin").isin("CompilerDerived", "NameResolved", "SyntaxMatched")
+
+
 def path_trust(edges: DataFrame, verified: Column) -> DataFrame:
     """One row ``(trust, verified, broken)`` for a page of edges: Verified (also if empty), Broken or Partial."""
     sums = edges.agg(F.coalesce(F.sum(verified.cast("long")), F.lit(0)).alias("verified"), F.count("*").alias("n"))
@@ -98,3 +104,31 @@ def within_budget(rows: DataFrame, text: str, group: list[str], order: list, bud
     """The first rows of each group, in order, whose estimated tokens together stay within ``part`` of the budget."""
     spent = F.sum(T.estimated_tokens(text)).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("tokens", spent).where(F.col("tokens") <= int(budget * part))
+
+
+def rich_diff(graph: CodeGraph, files: DataFrame, sources: DataFrame | None = None, depth: int = 3, k: int = 5) -> DataFrame:
+    """What a change of files reaches, a row a file: file, seeds (names), reached, confidence, top (struct of id and
+    confidence) and lines (struct of line, symbols, confidence).
+
+    Cones of all symbols of all files run at once. A node reached from several seeds counts once; confidence sums the live
+    confidence of every cone's edges; top are the surest nodes outside of the file by the best edge at them. Lines are
+    those on which seeds start, from 0; without ``sources(file, content)`` they are null. Files without symbols stay.
+    """
+    touched = settled(changed_symbols(graph.nodes, files).select("file", "id", "name", "span_start"))
+    tree = traverse.impact_tree(graph, touched.select(F.col("id").alias("seed"), "id"), depth)
+    tree = settled(tree.join(touched.select(F.col("id").alias("seed"), "file"), "seed"))
+    sums = tree.groupBy("file").agg(F.countDistinct("from_id").alias("reached"), F.sum("live").alias("confidence"))
+    ends = tree.select("file", F.col("from_id").alias("id"), "live").union(tree.select("file", "to_id", "live")).groupBy("file", "id").agg(F.max("live").alias("confidence"))
+    outside = ends.join(touched.select("file", "id"), ["file", "id"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("confidence"), "id"))
+    best = outside.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "confidence"))).alias("t"))
+    best = best.select("file", F.transform("t", lambda x: F.struct(x["id"].alias("id"), x["confidence"].alias("confidence"))).alias("top"))
+    per = touched.join(tree.groupBy(F.col("seed").alias("id")).agg(F.sum("live").alias("own")), "id", "left")
+    line = F.lit(None).cast("int")
+    if sources is not None:
+        per, line = per.join(sources.select("file", "content"), "file", "left"), spans.line_column("content", "span_start")["line"]
+    lines = per.groupBy("file", line.alias("line")).agg(F.array_sort(F.collect_list("name")).alias("symbols"), F.sum(F.coalesce("own", F.lit(0.0))).alias("confidence"))
+    lines = lines.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", "symbols", "confidence"))).alias("lines"))
+    seeds = touched.groupBy("file").agg(F.array_sort(F.collect_list("name")).alias("seeds"))
+    out = files.select("file").distinct().join(seeds, "file", "left").join(sums, "file", "left").join(best, "file", "left").join(lines, "file", "left")
+    return out.fillna(0, ["reached"]).fillna(0.0, ["confidence"])

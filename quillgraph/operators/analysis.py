@@ -9,6 +9,10 @@ from ..functions import text as T
 from ..model import CODE_KINDS, STRUCTURAL_KINDS, CodeGraph, current_confidence, impact_edges, trust_model
 from .traverse import risk_cone
 
+#: Kinds that count as types, and kinds that are data.
+TYPE_KINDS = ["Class", "Interface", "Trait", "Enum", "Struct", "TypeAlias", "Module", "Namespace"]
+DATA_KINDS = ["ConfigKey", "StringLiteral", "DocSection"]
+
 
 def stats(graph: CodeGraph) -> DataFrame:
     n = graph.nodes.agg(F.count("*").alias("symbols"), F.countDistinct("file").alias("files"))
@@ -37,6 +41,16 @@ def top_files(graph: CodeGraph, k: int) -> DataFrame:
     return graph.nodes.groupBy("file").agg(F.count("*").alias("symbols")).orderBy(F.desc("symbols"), "file").limit(k)
 
 
+def language_census(files: DataFrame) -> DataFrame:
+    """Files of each language; ``files(file)``."""
+    return files.groupBy(T.language("file").alias("lang")).agg(F.count("*").alias("n"))
+
+
+def primary_language(files: DataFrame) -> DataFrame:
+    """The language of most files, the least name on ties; no row without files of a known one."""
+    return language_census(files).where("lang NOT IN ('unknown', 'config')").orderBy(F.desc("n"), "lang").limit(1)
+
+
 def file_packages(files: DataFrame, packages: DataFrame) -> DataFrame:
     """Each file's deepest package: ``files(file)``, ``packages(package, path)``; by all prefixes of its path, an equi-join."""
     parts = F.split("file", "/")
@@ -46,12 +60,19 @@ def file_packages(files: DataFrame, packages: DataFrame) -> DataFrame:
 
 
 def package_stats(graph: CodeGraph, packages: DataFrame) -> DataFrame:
-    """Symbols and edges (by their source's file) of every package; a package may have only one of them."""
-    of = file_packages(graph.nodes.select("file").distinct(), packages)
-    n = graph.nodes.join(of, "file")
-    symbols = n.groupBy("package").agg(F.count("*").alias("symbols"))
-    edges = graph.edges.join(n.select(F.col("id").alias("from_id"), "package"), "from_id").groupBy("package").agg(F.count("*").alias("edges"))
-    return symbols.join(edges, "package", "full").fillna(0, ["symbols", "edges"])
+    """Symbols by their file and edges by their evidence's file for every package, which may have only one of them.
+
+    A package of path "." takes what no other has; without it that is "(no package)". An empty file is "(external)".
+    """
+    root = packages.where("path = '.'").select(F.col("package").alias("root"))
+    counts = graph.nodes.groupBy("file").agg(F.count("*").alias("symbols"), F.lit(0).cast("long").alias("edges")).union(
+        graph.edges.groupBy("evidence_file").agg(F.lit(0).cast("long"), F.count("*")))
+    counts = counts.groupBy("file").agg(F.sum("symbols").alias("symbols"), F.sum("edges").alias("edges"))
+    of = file_packages(counts.select("file"), packages.where("path <> '.'"))
+    rest = F.broadcast(root.agg(F.min("root").alias("root")))  # one row
+    named = counts.join(of, "file", "left").join(rest)
+    package = F.when(F.col("file") == "", "(external)").otherwise(F.coalesce("package", "root", F.lit("(no package)")))
+    return named.groupBy(package.alias("package")).agg(F.sum("symbols").alias("symbols"), F.sum("edges").alias("edges"))
 
 
 def orphans(graph: CodeGraph) -> DataFrame:
@@ -63,6 +84,13 @@ def orphans(graph: CodeGraph) -> DataFrame:
     return out.withColumn("bucket", bucket)
 
 
+def visibility_score() -> Column:
+    """By declared visibility; where it is unknown by name and ``node_kind``."""
+    private = F.col("name").startswith("_") | F.contains("name", F.lit("::impl#"))
+    guess = F.when(private, 0.4).when(F.col("node_kind").isin(TYPE_KINDS), 1.0).otherwise(0.75)
+    return F.when(F.col("visibility") == "Public", 1.0).when(F.col("visibility") == "Private", 0.4).otherwise(guess)
+
+
 def risk(graph: CodeGraph, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """Risk of changing each seed: callers, confidence-weighted impact, module spread, share of breaking edges, score, band."""
     cone = risk_cone(graph, seeds, depth).join(graph.nodes.select("id", "file"), "id").withColumn("module", T.module_of("file"))
@@ -70,15 +98,15 @@ def risk(graph: CodeGraph, seeds: DataFrame, depth: int = 3) -> DataFrame:
     per = modules.groupBy("seed").agg(F.sum("n").alias("callers"), F.sum("cwi").alias("cwi"), F.count("*").alias("modules"), F.sum("best").alias("spread"))
     breaking = F.col("kind").isin("Calls", "Extends", "Implements", "Overrides", "References", "Resolves", "DependsOn")
     live = graph.edges.withColumn("c", current_confidence()).groupBy(F.col("to_id").alias("id")).agg((F.sum(F.when(breaking, F.col("c")).otherwise(0.0)) / F.sum("c")).alias("kind_factor"))
-    base = seeds.join(graph.nodes.select("id", "visibility", "name"), "id").join(per, "seed", "left").join(live, "id", "left")
+    base = seeds.join(graph.nodes.select("id", "visibility", "name", F.col("kind").alias("node_kind")), "id").join(per, "seed", "left").join(live, "id", "left")
     base = base.fillna(0, ["callers", "cwi", "modules", "spread", "kind_factor"])
-    vis = F.when(F.col("visibility") == "Public", 1.0).when(F.col("visibility") == "Private", 0.4).otherwise(0.75)
+    vis = visibility_score()
     cap = lambda c, m: F.least(F.col(c) / m, F.lit(1.0))
     score = 0.20 * vis + 0.45 * cap("cwi", 20.0) + 0.25 * F.least(F.greatest("spread", F.lit(1.0)) / 10.0, F.lit(1.0)) + 0.10 * F.col("kind_factor")
     band = F.when(F.col("score") >= 0.8, "critical").when(F.col("score") >= 0.6, "high").when(F.col("score") >= 0.4, "medium").otherwise("low")
     radius = (
-        F.when((F.col("modules") > 10) | (F.col("callers") > 50), "system").when((F.col("modules") > 5) | (F.col("callers") > 20), "wide")
-        .when((F.col("modules") >= 3) | (F.col("callers") >= 6), "module").otherwise("local"))
+        F.when((F.col("modules") > 10) | (F.col("callers") > 50), "critical").when((F.col("modules") > 5) | (F.col("callers") > 20), "high")
+        .when((F.col("modules") >= 3) | (F.col("callers") >= 6), "medium").otherwise("low"))
     return base.withColumn("score", score).withColumn("band", band).withColumn("radius", radius).select("seed", "callers", "cwi", "modules", "spread", "kind_factor", "score", "band", "radius")
 
 
@@ -95,24 +123,26 @@ def enum_mismatches(variants: DataFrame) -> DataFrame:
 
 
 def near_paths(paths: DataFrame, most: int = 2) -> DataFrame:
-    """``paths(path, file)``: pairs of paths at an edit distance of 1 to ``most`` (ASCII), each unordered pair once.
+    """``paths(path, file)``: pairs of paths at an edit distance of 1 to ``most`` bytes, each unordered pair once.
 
-    Both have two segments or more, lengths differ by at most 20 %, and they are in different files. Pairs meet through
-    deletion variants: strings within d edits share a variant with at most d characters deleted, so the join is by
-    equality on lengths and variants instead of all pairs.
+    Both have two segments or more, lengths differ by at most 20 %, and they are in different files. A path is cut into
+    ``most`` + 1 pieces, of which ``most`` edits leave one whole and moved by at most ``most`` bytes; the other path is
+    looked at there for every length that a partner may have. So the join is by equality on lengths and pieces.
     """
     one = paths.where(T.segment_count("path") >= 2).groupBy("path").agg(F.min("file").alias("lo"), F.max("file").alias("hi"))
-    cuts = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
-    variants = F.array_distinct(F.concat(F.array("path"), cuts(F.col("path"))))
-    keys = one.select("path", "lo", "hi", F.explode(variants).alias("v"))
-    for _ in range(most - 1):
-        keys = keys.select("path", "lo", "hi", F.explode(F.concat(F.array("v"), cuts(F.col("v")))).alias("v")).distinct()
-    other = keys.select(F.col("path").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), "v")
-    pairs = keys.join(other, "v").where("path < other").select("path", "other", "lo", "hi", "lo2", "hi2").distinct()
-    far = F.abs(F.length("path") - F.length("other")) * 5 <= F.greatest(F.length("path"), F.length("other"))
-    d = F.levenshtein("path", "other", most)
+    one = one.withColumn("b", T.utf8_bytes("path")).withColumn("n", F.length("b"))
+    cut = lambda n, i: F.floor(n * i / (most + 1)).cast("int")
+    piece = lambda n, i, move: F.struct(n.alias("m"), F.lit(i).alias("i"), F.substring(F.col("b"), cut(n, i) + 1 + move, cut(n, i + 1) - cut(n, i)).alias("piece"))
+    own = F.array(*[piece(F.col("n"), i, F.lit(0)) for i in range(most + 1)])
+    kept = one.select("path", "b", "n", "lo", "hi", F.explode(own).alias("k")).select("path", "b", "n", "lo", "hi", "k.*")
+    # a partner of length n + d, d at most ``most``: where its i-th piece may stand in this path
+    moves = [F.when(cut(F.col("n") + d, i) + F.lit(move) >= 0, piece(F.col("n") + d, i, F.lit(move))) for d in range(-most, most + 1) for i in range(most + 1) for move in range(-most, most + 1) if abs(move) + abs(d + move) <= most]
+    asked = one.select(F.col("path").alias("other"), F.col("b").alias("b2"), F.col("n").alias("n2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.array_distinct(F.array_compact(F.array(*moves)))).alias("k"))
+    pairs = kept.join(asked.select("other", "b2", "n2", "lo2", "hi2", "k.*"), ["m", "i", "piece"])
+    close = F.abs(F.col("n") - F.col("n2")) * 5 <= F.greatest("n", "n2")
     files = ~((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2")))
-    return pairs.where(far & files).withColumn("distance", d).where(f"distance BETWEEN 1 AND {most}").where(~T.version_only("path", "other")).select("path", "other", "distance")
+    found = pairs.where(F.col("path") < F.col("other")).where(close & files).withColumn("distance", F.levenshtein("b", "b2", most))
+    return found.where(f"distance BETWEEN 1 AND {most}").where(~T.version_only("path", "other")).select("path", "other", "distance").distinct()
 
 
 def missing_keys(refs: DataFrame, defs: DataFrame) -> DataFrame:
@@ -130,12 +160,12 @@ def unused_keys(refs: DataFrame, defs: DataFrame) -> DataFrame:
 
 
 def noise_files(nodes: DataFrame, total: int | None = None, least: int = 200, graph_percent: int = 5, file_percent: int = 90, k: int = 5) -> DataFrame:
-    """Files that hold mostly data symbols and a good part of the graph."""
+    """Files that hold mostly data symbols and a good part of the graph; symbols without a file count for the graph alone."""
     total = nodes.count() if total is None else total
-    data = F.col("kind").isin("ConfigKey", "StringLiteral", "EnumVariant", "Constant")
-    per = nodes.groupBy("file").agg(F.count("*").alias("n"), F.sum(data.cast("long")).alias("data"))
+    data = F.col("kind").isin(DATA_KINDS)
+    per = nodes.where("file <> ''").groupBy("file").agg(F.count("*").alias("n"), F.sum(data.cast("long")).alias("data"))
     ok = (F.col("data") >= least) & (F.floor(F.col("data") * 100 / total) >= graph_percent) & (F.floor(F.col("data") * 100 / F.col("n")) >= file_percent)
-    return per.where(ok).orderBy(F.desc("data"), "file").limit(k)
+    return per.where(ok).orderBy(F.desc("data"), "file").limit(k).withColumn("share", F.floor(F.col("data") * 100 / total))
 
 
 def pair_projection(values: DataFrame, caps: list[int]) -> DataFrame:
@@ -149,8 +179,9 @@ def pair_projection(values: DataFrame, caps: list[int]) -> DataFrame:
 
 
 def units(nodes: DataFrame, least: int = 40, percent: int = 12) -> DataFrame:
-    """Top directories, expanded to their children where they have two or more and are large."""
-    p = nodes.where("file <> ''").select(F.split("file", "/").alias("p")).select(F.element_at("p", 1).alias("top"), F.when(F.size("p") > 2, F.element_at("p", 2)).alias("sub"))
+    """Top directories, expanded to their children where they have two or more and are large; "(root)" for files in none."""
+    p = nodes.select(F.split("file", "/").alias("p"))
+    p = p.select(F.when(F.size("p") > 1, F.element_at("p", 1)).otherwise("(root)").alias("top"), F.when(F.size("p") > 2, F.element_at("p", 2)).alias("sub"))
     rows = p.groupBy("top", "sub").agg(F.count("*").alias("n"))
     tops = rows.groupBy("top").agg(F.sum("n").alias("t"), F.count("sub").alias("children"))
     whole = rows.agg(F.sum("n").alias("all"))

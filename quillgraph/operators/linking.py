@@ -17,18 +17,22 @@ def string_pairs(values: DataFrame, cap: int = 8) -> DataFrame:
     return values.join(b, F.col("value") == F.col("v2")).where("id < b_id AND file <> f2").select(F.col("id").alias("a_id"), "b_id", "value")
 
 
-def candidates(refs: DataFrame, defs: DataFrame) -> DataFrame:
-    """Definitions a reference means: ``refs(ref_id, name, file)``, ``defs(id, name, file)``.
+def candidates(refs: DataFrame, defs: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """Definitions a reference means: ``refs(ref_id, name, file)``, ``defs(id, name, file[, qualified_name])``.
 
-    All of the same file; else the only one of the same directory; else the only one at all.
+    All of the same file; else the only one of the same directory; else the only one with a qualified name; else all of
+    the file that ``imports(file, name, target)`` names; else the only one at all. ``rule`` tells which it was.
 
-    The second and third rule need only counts and least and greatest ids of definitions, so a name that many share costs
-    a row for each reference, not one for each pair. ``ref_id`` and ``id`` are unique; a reference never means itself.
+    But for the first and the fourth, rules need only counts and least and greatest ids of definitions, so a name that
+    many share costs a row for each reference, not one for each pair. ``ref_id`` and ``id`` are unique; a reference
+    never means itself.
     """
-    refs, defs = (df.withColumn("folder", F.regexp_replace("file", "/[^/]*$", "")) for df in (refs.select("ref_id", "name", "file"), defs.select("id", "name", "file")))
+    qualified = F.col("qualified_name") if "qualified_name" in defs.columns else F.col("name")
+    refs = refs.select("ref_id", "name", "file", T.folder_of("file").alias("folder"))
+    defs = defs.select("id", "name", "file", T.folder_of("file").alias("folder"), (F.coalesce(qualified, F.lit("")) != "").alias("qualified"))
     known = refs
-    for level, keys in (("file_", ["name", "file"]), ("dir", ["name", "folder"]), ("all", ["name"])):
-        known = known.join(defs.groupBy(*keys).agg(F.struct(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).alias(level)), keys, "left")
+    for level, keys, some in (("file_", ["name", "file"], F.lit(True)), ("dir", ["name", "folder"], F.lit(True)), ("full", ["name"], F.col("qualified")), ("all", ["name"], F.lit(True))):
+        known = known.join(defs.where(some).groupBy(*keys).agg(F.struct(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).alias(level)), keys, "left")
 
     def one(level: str):
         n, lo, hi = (F.col(level)[c] for c in ("n", "lo", "hi"))
@@ -36,11 +40,18 @@ def candidates(refs: DataFrame, defs: DataFrame) -> DataFrame:
         return F.when((n == 1) & ~mine_lo, lo).when((n == 2) & mine_lo & ~mine_hi, hi).when((n == 2) & mine_hi & ~mine_lo, lo)
 
     in_file = F.coalesce((F.col("file_")["lo"] != F.col("ref_id")) | (F.col("file_")["hi"] != F.col("ref_id")), F.lit(False))
-    known = known.withColumns({"in_dir": one("dir"), "in_all": one("all")})
-    far = known.where(~in_file & F.coalesce("in_dir", "in_all").isNotNull())
-    far = far.select("ref_id", F.coalesce("in_dir", "in_all").alias("id"), F.when(F.col("in_dir").isNotNull(), "same_dir").otherwise("only").alias("rule"))
+    far = known.where(~in_file).select("ref_id", "name", "file", *[one(x).alias(f"in_{x}") for x in ("dir", "full", "all")])
     near = refs.join(defs.select("id", "name", "file"), ["name", "file"]).where("ref_id <> id").select("ref_id", "id", F.lit("same_file").alias("rule"))
-    return near.unionByName(far)
+    found = F.when(F.col("in_dir").isNotNull(), "same_dir").otherwise("qualified")
+    sure = far.where("coalesce(in_dir, in_full) IS NOT NULL").select("ref_id", F.coalesce("in_dir", "in_full").alias("id"), found.alias("rule"))
+    rest = far.where("coalesce(in_dir, in_full) IS NULL")
+    only = rest.where("in_all IS NOT NULL").select("ref_id", F.col("in_all").alias("id"), F.lit("only").alias("rule"))
+    out = near.unionByName(sure)
+    if imports is not None:
+        there = defs.select("id", "name", F.col("file").alias("target"))
+        named = rest.join(imports.select("file", "name", "target").distinct(), ["file", "name"]).join(there, ["name", "target"]).where("ref_id <> id").select("ref_id", "id", F.lit("import").alias("rule"))
+        out, only = out.unionByName(named), only.join(named.select("ref_id"), "ref_id", "left_anti")
+    return out.unionByName(only)
 
 
 def enclosing(refs: DataFrame, nodes: DataFrame, width: int = 1024) -> DataFrame:
@@ -116,14 +127,18 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def fuzzy(nodes: DataFrame, query: str, limit: int = 1024) -> DataFrame:
-    """Names that hold the query, ranked by (place, length, id); without any, names within a small edit distance (ASCII)."""
-    q = query.lower()
-    inside = nodes.where(F.contains(F.lower("name"), F.lit(q))).withColumn("score", F.instr(F.lower("name"), q) - 1)
-    allowed = 1 if len(q.encode()) < 4 else 2
-    d = F.levenshtein(F.substring(F.lower("name"), 1, len(q) + allowed), F.lit(q), allowed)
-    near = nodes.withColumn("score", F.lit(1000) + d).where(d >= 0)
-    out = inside if not inside.isEmpty() else near
-    return out.orderBy("score", F.length("name"), "id").limit(limit).select("id", "name", F.col("score").cast("int").alias("score"))
+    """Names that hold the query, ASCII case aside: equal ones (0), those that start with it (1), others (2), shorter
+    names and smaller ids first. Without any, names whose beginning is within an edit (queries of three bytes or less)
+    or two of it, over bytes, as 3 plus the distance."""
+    q = "".join(c.lower() if c.isascii() else c for c in query)
+    name, size = T.ascii_lower("name"), len(q.encode())
+    rank = F.when(name == q, 0).when(name.startswith(q), 1).otherwise(2)
+    inside = nodes.where(F.contains(name, F.lit(q))).withColumn("score", rank)
+    most = 1 if size < 4 else 2
+    begin = F.substring(T.utf8_bytes(name), 1, size + most)
+    near = nodes.withColumn("score", F.levenshtein(begin, T.utf8_bytes(F.lit(q)), most)).where("score >= 0").withColumn("score", F.col("score") + 3)
+    out = near if inside.isEmpty() else inside
+    return out.orderBy("score", F.octet_length("name"), "id").limit(limit).select("id", "name", F.col("score").cast("int").alias("score"))
 
 
 def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import linking
 
 CONFIG_REF = "config_ref::"
 MEDIATORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -66,6 +67,15 @@ def provider_pairs(nodes: DataFrame, wire_up: str = r"(?i)^(go_di_marker::)?(wir
     return made.select("file", F.col("id").alias("from_id")).join(made.select("file", F.col("id").alias("to_id")), "file").where("from_id < to_id").select("from_id", "to_id", F.col("file").alias("evidence_file"))
 
 
+@mediator("spring-di")
+def field_classes(nodes: DataFrame) -> DataFrame:
+    """Fields and variables with the classes of other files whose names end in theirs."""
+    fields = nodes.where(F.col("kind").isin("Field", "Variable")).select("id", "name", "file")
+    classes = nodes.where(F.col("kind").isin("Class", "Interface")).select("id", "name", "file")
+    found = linking.injections(fields, classes).join(fields.select("id", "file"), "id")
+    return found.select(F.col("id").alias("from_id"), F.col("class_id").alias("to_id"), F.col("file").alias("evidence_file"))
+
+
 def mediated(nodes: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Edges of all mediators named (all that are known), each pair once."""
     found = [MEDIATORS[n](nodes) for n in (names or sorted(MEDIATORS))]

@@ -104,17 +104,24 @@ def top_files(spark, d):
     return A.top_files(graph(spark, d), 10)
 
 
-@query(WITH + """, p AS (SELECT *, split_part(file, '/', 2) AS package FROM n)
-SELECT package, count(DISTINCT id) AS symbols, coalesce(sum(c), 0)::BIGINT AS edges FROM p LEFT JOIN (SELECT from_id, count(*) AS c FROM e GROUP BY 1) x ON x.from_id = p.id GROUP BY 1""")
+@query(WITH + """, c AS (SELECT split_part(file, '/', 2) AS package, 1 AS s, 0 AS e FROM n UNION ALL SELECT CASE WHEN to_id % 4 < 2 THEN 'e' || to_id % 4 ELSE 'root' END, 0, 1 FROM e)
+SELECT package, sum(s)::BIGINT AS symbols, sum(e)::BIGINT AS edges FROM c GROUP BY 1""")
 def package_stats(spark, d):
     g = graph(spark, d)
     packages = g.nodes.select(F.element_at(F.split("file", "/"), 2).alias("package")).distinct().withColumn("path", F.concat(F.lit("crates/"), "package"))
-    return A.package_stats(g, packages.union(spark.createDataFrame([("root", "crates")], "package string, path string")))
+    return A.package_stats(g, packages.union(spark.createDataFrame([("e0", "crates/e0"), ("e1", "crates/e1"), ("root", ".")], "package string, path string")))
 
 
-@query(WITH + """, u AS (SELECT concat(split_part(file, '/', 1), '/', split_part(file, '/', 2)) AS unit FROM n) SELECT unit, count(*) AS n FROM u GROUP BY 1""")
+_UNITS = """SELECT CASE p_size % 4 WHEN 0 THEN concat('big/', CAST(p_size % 3 AS STRING), '/f.rs') WHEN 1 THEN concat('top', CAST(p_size AS STRING), '.rs')
+  WHEN 2 THEN concat('flat/f', CAST(p_size AS STRING), '.rs') ELSE concat('few', CAST(p_partkey % 97 AS STRING), '/', CAST(p_partkey % 2 AS STRING), '/x.rs') END AS file FROM part"""
+
+
+@query(f"""WITH f AS ({_UNITS}), p AS (SELECT string_split(file, '/') AS p FROM f), s AS (SELECT CASE WHEN len(p) = 1 THEN '(root)' ELSE p[1] END AS top, CASE WHEN len(p) > 2 THEN p[2] END AS sub FROM p),
+t AS (SELECT top, count(*) AS n, count(DISTINCT sub) AS children FROM s GROUP BY 1), w AS (SELECT top FROM t WHERE children >= 2 AND (n >= 40 OR n >= 0.12 * (SELECT count(*) FROM s)))
+SELECT CASE WHEN sub IS NOT NULL AND top IN (FROM w) THEN top || '/' || sub ELSE top END AS unit, count(*) AS n FROM s GROUP BY 1""")
 def unit_derivation(spark, d):
-    return A.units(graph(spark, d).nodes)
+    table(spark, d, "part").createOrReplaceTempView("part")
+    return A.units(spark.sql(_UNITS))
 
 
 # --- traversal ----------------------------------------------------------------------------------------------------
@@ -151,10 +158,10 @@ def risk_cone(spark, d):
 m AS (SELECT module, count(*) AS n, sum(conf) AS cwi, max(conf) AS top FROM c GROUP BY 1),
 p AS (SELECT sum(n)::BIGINT AS callers, sum(cwi) AS cwi, count(*) AS modules, sum(top) AS spread FROM m),
 k AS (SELECT sum(CASE WHEN kind IN ('Calls', 'Extends', 'Implements', 'References', 'Resolves', 'DependsOn') THEN cur ELSE 0 END) / sum(cur) AS kf FROM e WHERE to_id = {CUSTOMER}),
-s AS (SELECT *, 0.20 * 0.75 + 0.45 * least(cwi / 20, 1) + 0.25 * least(greatest(spread, 1) / 10, 1) + 0.10 * kf AS score FROM p, k)
+s AS (SELECT *, 0.20 * 1.0 + 0.45 * least(cwi / 20, 1) + 0.25 * least(greatest(spread, 1) / 10, 1) + 0.10 * kf AS score FROM p, k)
 SELECT {CUSTOMER}::BIGINT AS seed, callers, round(cwi, 6) AS cwi, modules, round(spread, 6) AS spread, round(kf, 6) AS kind_factor, round(score, 6) AS score,
 CASE WHEN score >= 0.8 THEN 'critical' WHEN score >= 0.6 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS band,
-CASE WHEN modules > 10 OR callers > 50 THEN 'system' WHEN modules > 5 OR callers > 20 THEN 'wide' WHEN modules >= 3 OR callers >= 6 THEN 'module' ELSE 'local' END AS radius FROM s""")
+CASE WHEN modules > 10 OR callers > 50 THEN 'critical' WHEN modules > 5 OR callers > 20 THEN 'high' WHEN modules >= 3 OR callers >= 6 THEN 'medium' ELSE 'low' END AS radius FROM s""")
 def risk_score(spark, d):
     out = A.risk(graph(spark, d), seeds(spark, CUSTOMER), 3)
     return out.select("seed", "callers", F.round("cwi", 6).alias("cwi"), "modules", F.round("spread", 6).alias("spread"), F.round("kind_factor", 6).alias("kind_factor"), F.round("score", 6).alias("score"), "band", "radius")
@@ -182,10 +189,12 @@ def subgraph(spark, d):
     return G.reach(seeds(spark, CUSTOMER), G.both_ways(graph(spark, d).edges), 2).select("id", "depth")
 
 
-@query(WITH + ", b AS (SELECT from_id AS s, to_id AS t FROM e UNION SELECT to_id, from_id FROM e), r(id, depth) AS (SELECT 40000000001::BIGINT, 0 UNION SELECT b.t, r.depth + 1 FROM r JOIN b ON b.s = r.id WHERE r.depth < 3) SELECT 40000000001::BIGINT AS a, 10000000000::BIGINT AS b, (SELECT min(depth) FROM r WHERE id = 10000000000) AS hops UNION ALL SELECT 40000000001, 20000000003, (SELECT min(depth) FROM r WHERE id = 20000000003)")
+_PAIRS = [(40000000001, 10000000000), (40000000001, 20000000003), (40000000002, 40000000002), (40000000003, 99)]
+
+
+@query(WITH + ", b AS (SELECT from_id AS s, to_id AS t FROM e UNION SELECT to_id, from_id FROM e), r(id, depth) AS (SELECT 40000000001::BIGINT, 0 UNION SELECT b.t, r.depth + 1 FROM r JOIN b ON b.s = r.id WHERE r.depth < 4) SELECT 40000000001::BIGINT AS a, 10000000000::BIGINT AS b, (SELECT min(depth) FROM r WHERE id = 10000000000)::INT AS hops UNION ALL SELECT 40000000001, 20000000003, (SELECT min(depth) FROM r WHERE id = 20000000003) UNION ALL SELECT 40000000002, 40000000002, 0 UNION ALL SELECT 40000000003, 99, NULL")
 def shortest_path_hops(spark, d):
-    pairs = spark.createDataFrame([(40000000001, 10000000000), (40000000001, 20000000003)], "a long, b long")
-    return G.shortest_path(graph(spark, d).edges, pairs, 3).select("a", "b", "hops")
+    return G.shortest_path(graph(spark, d).edges, spark.createDataFrame(_PAIRS, "a long, b long")).select("a", "b", "hops")
 
 
 @query(WITH + ", g AS (SELECT to_id AS id, count(*) AS degree FROM e GROUP BY 1) SELECT name, id, degree FROM (SELECT n.name, n.id, coalesce(g.degree, 0) AS degree, row_number() OVER (PARTITION BY n.name ORDER BY coalesce(g.degree, 0) DESC, n.id) AS rn FROM n LEFT JOIN g USING (id) WHERE n.kind = 'Constant') WHERE rn = 1")
@@ -196,10 +205,16 @@ def seed_by_degree(spark, d):
     return G.seed_by_degree(type(g)(graph(spark, d).nodes, g.edges), names).join(g.nodes.select("id"), "id", "left_semi").select("name", "id", "degree")
 
 
-@query(WITH + ", s AS (SELECT id, name FROM n WHERE kind = 'Class' AND id < 30000000000), r(seed, id, depth) AS (SELECT id, id, 0 FROM s UNION SELECT r.seed, e.from_id, r.depth + 1 FROM r JOIN e ON e.to_id = r.id WHERE r.depth < 2) SELECT s.name, (SELECT count(DISTINCT r.id) - 1 FROM r WHERE r.seed = s.id)::BIGINT AS impact, 1::BIGINT AS seeds FROM s")
+@query(WITH + """, w AS (SELECT n_name AS name FROM nation UNION SELECT 'NOWHERE'), s AS (SELECT id, name FROM n JOIN w USING (name)), r(seed, id, depth) AS (SELECT id, id, 0 FROM s UNION SELECT r.seed, e.from_id, r.depth + 1 FROM r JOIN e ON e.to_id = r.id WHERE r.depth < 2),
+c AS (SELECT seed, id, min(depth) AS depth FROM r GROUP BY 1, 2), t AS (SELECT c.seed, e.cur, row_number() OVER (PARTITION BY c.seed, c.id ORDER BY CASE e.kind WHEN 'Calls' THEN 0 WHEN 'Implements' THEN 1 WHEN 'Extends' THEN 2 WHEN 'Imports' THEN 5 WHEN 'References' THEN 6 WHEN 'DependsOn' THEN 7 ELSE 19 END, e.to_id, e.kind) AS rn
+  FROM c JOIN e ON e.from_id = c.id JOIN c p ON p.seed = c.seed AND p.id = e.to_id AND p.depth = c.depth - 1 WHERE c.depth > 0),
+z AS (SELECT seed, count(*) AS n, sum(cur) AS live FROM t WHERE rn = 1 GROUP BY 1)
+SELECT name, count(s.id) AS seeds, count(s.id) AS seeds_used, false AS truncated, coalesce(sum(z.n), 0)::BIGINT AS nodes, coalesce(sum(z.n), 0)::BIGINT AS edges, round(coalesce(sum(z.live), 0), 6) AS confidence_weighted FROM s LEFT JOIN z ON z.seed = s.id GROUP BY 1
+UNION ALL SELECT 'NOWHERE', NULL, NULL, NULL, NULL, NULL, NULL""")
 def impact_batch(spark, d):
-    g = graph(spark, d)
-    return G.batch_impact(g, g.nodes.where("kind = 'Class' AND id < 30000000000").select("name").distinct(), 2)
+    names = table(spark, d, "nation").select(F.col("n_name").alias("name")).union(spark.createDataFrame([("NOWHERE",)], "name string"))
+    out = G.batch_impact(graph(spark, d), names, 2)
+    return out.withColumn("confidence_weighted", F.round("confidence_weighted", 6))
 
 
 @query(WITH + ", s AS (SELECT id FROM n WHERE file = 'crates/nation/src/nation_1.py'), r(id, depth) AS (SELECT id, 0 FROM s UNION SELECT e.from_id, r.depth + 1 FROM r JOIN e ON e.to_id = r.id WHERE r.depth < 2) SELECT DISTINCT id FROM r WHERE id NOT IN (SELECT id FROM s)")
@@ -219,9 +234,14 @@ def exact_lookup(spark, d):
     return graph(spark, d).nodes.join(F.broadcast(wanted), "name").select("id", "name")
 
 
-@query(WITH + "SELECT id, name, CAST(instr(lower(name), 'an') - 1 AS INT) AS score FROM n WHERE contains(lower(name), 'an') ORDER BY 3, length(name), id LIMIT 100")
+@query(WITH + "SELECT id, name, CASE WHEN lower(name) = 'an' THEN 0 WHEN starts_with(lower(name), 'an') THEN 1 ELSE 2 END::INT AS score FROM n WHERE contains(lower(name), 'an') ORDER BY 3, strlen(name), id LIMIT 100")
 def fuzzy_lookup(spark, d):
-    return L.fuzzy(graph(spark, d).nodes, "an", 100)
+    return L.fuzzy(graph(spark, d).nodes, "AN", 100)
+
+
+@query(WITH + ", x AS (SELECT id, name, levenshtein(lower(name[1:14]), 'custmer#0000') AS d FROM n) SELECT id, name, (3 + d)::INT AS score FROM x WHERE d <= 2 ORDER BY d, strlen(name), id LIMIT 100")
+def fuzzy_lookup_typo(spark, d):
+    return L.fuzzy(graph(spark, d).nodes, "Custmer#0000", 100)
 
 
 @query(WITH + "SELECT name, id FROM (SELECT name, id, row_number() OVER (PARTITION BY name ORDER BY (visibility = 'Public') DESC, id) AS rn FROM n) WHERE rn = 1")
@@ -238,13 +258,12 @@ def edge_page(spark, d):
 
 @query(WITH + "SELECT kind, count(*) AS n, sum((conf >= CAST(0.7 AS FLOAT) AND origin IN ('CompilerDerived', 'NameResolved', 'SyntaxMatched'))::INT)::BIGINT AS verified FROM e GROUP BY 1")
 def verified_edges(spark, d):
-    ok = (F.col("confidence") >= F.lit(0.7).cast("float")) & F.col("origin").isin("CompilerDerived", "NameResolved", "SyntaxMatched")
-    return graph(spark, d).edges.groupBy("kind").agg(F.count("*").alias("n"), F.sum(ok.cast("long")).alias("verified"))
+    return graph(spark, d).edges.groupBy("kind").agg(F.count("*").alias("n"), F.sum(R.verified().cast("long")).alias("verified"))
 
 
-@query(WITH + ", l AS (SELECT id, CASE regexp_extract(file, '[.]([^./]+)$', 1) WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' ELSE 'go' END AS lang FROM n) SELECT lang, count(*) AS n FROM l GROUP BY 1")
+@query(WITH + ", l AS (SELECT DISTINCT file, CASE regexp_extract(file, '[.]([^./]+)$', 1) WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' ELSE 'go' END AS lang FROM n) SELECT lang, count(*) AS n FROM l GROUP BY 1")
 def language_census(spark, d):
-    return graph(spark, d).nodes.groupBy(T.language("file").alias("lang")).agg(F.count("*").alias("n"))
+    return A.language_census(graph(spark, d).nodes.select("file").distinct())
 
 
 @query(WITH + ", l AS (SELECT id, regexp_extract(file, '[.]([^./]+)$', 1) AS lang FROM n) SELECT e.kind, count(*) AS n FROM e JOIN l a ON a.id = e.from_id JOIN l b ON b.id = e.to_id WHERE a.lang <> b.lang GROUP BY 1")
@@ -314,10 +333,14 @@ def unused_config_keys(spark, d):
     return A.unused_keys(defs.where("p_size > 25").select("key"), defs)
 
 
-@query("SELECT p_brand AS file, count(*) AS n, count(*) AS data FROM part GROUP BY 1 HAVING count(*) >= 10 AND floor(count(*) * 100 / (SELECT count(*) FROM part)) >= 4 ORDER BY 3 DESC, 1 LIMIT 5")
+_NOISE = "SELECT CASE WHEN p_size <= 30 OR p_brand LIKE '%1' THEN CASE p_size % 3 WHEN 0 THEN 'ConfigKey' WHEN 1 THEN 'StringLiteral' ELSE 'DocSection' END ELSE 'Constant' END AS kind, CASE WHEN p_size = 7 THEN '' ELSE p_brand END AS file FROM part"
+
+
+@query(f"""WITH p AS ({_NOISE}), f AS (SELECT file, count(*) AS n, sum((kind <> 'Constant')::INT)::BIGINT AS data FROM p WHERE file <> '' GROUP BY 1)
+SELECT file, n, data, data * 100 // (SELECT count(*) FROM p) AS share FROM f WHERE data >= 10 AND data * 100 // (SELECT count(*) FROM p) >= 3 AND data * 100 // n >= 90 ORDER BY data DESC, file LIMIT 5""")
 def noise_files(spark, d):
-    n = table(spark, d, "part").select(F.lit("Constant").alias("kind"), F.col("p_brand").alias("file"))
-    return A.noise_files(n, least=10, graph_percent=4)
+    table(spark, d, "part").createOrReplaceTempView("part")
+    return A.noise_files(spark.sql(_NOISE), least=10, graph_percent=3)
 
 
 _LINES = "SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents"
@@ -339,22 +362,24 @@ def string_pairs(spark, d):
 
 # --- linking ------------------------------------------------------------------------------------------------------
 
-_REFS = "SELECT p_partkey AS ref_id, p_type AS name, 'src/' || p_brand || '/' || (p_partkey % 5) || '.rs' AS file FROM part"
-
+_REFS = "SELECT p_partkey AS ref_id, concat(p_type, CAST(p_size % 4 AS STRING)) AS name, CASE WHEN p_partkey % 11 = 0 THEN concat('f', CAST(p_partkey % 3 AS STRING), '.rs') ELSE concat('src/', p_brand, '/', CAST(p_partkey % 5 AS STRING), '.rs') END AS file, CASE WHEN p_size % 3 = 0 THEN p_type ELSE '' END AS qualified_name FROM part"
 
-def _parts(spark, d):
-    path = F.concat(F.lit("src/"), "p_brand", F.lit("/"), (F.col("p_partkey") % 5).cast("string"), F.lit(".rs"))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name"), path.alias("file"))
 
-
-@query(f"""WITH r AS ({_REFS}), j AS (SELECT a.ref_id, b.ref_id AS id, a.file = b.file AS sf, regexp_replace(a.file, '/[^/]*$', '') = regexp_replace(b.file, '/[^/]*$', '') AS sd FROM r a JOIN r b ON a.name = b.name AND a.ref_id <> b.ref_id),
-k AS (SELECT *, sum(sf::INT) OVER w AS nf, sum(sd::INT) OVER w AS nd, count(*) OVER w AS n FROM j WINDOW w AS (PARTITION BY ref_id))
-SELECT ref_id, id, CASE WHEN nf > 0 THEN 'same_file' WHEN nd = 1 THEN 'same_dir' ELSE 'only' END AS rule FROM k WHERE CASE WHEN nf > 0 THEN sf WHEN nd = 1 THEN sd ELSE n = 1 END""")
+@query(f"""WITH r AS ({_REFS}), i AS (SELECT DISTINCT file, name, min(file) OVER (PARTITION BY name) AS target, ref_id % 2 = 0 AS ok FROM r), i2 AS (SELECT DISTINCT file, name, target FROM i WHERE ok),
+j AS (SELECT a.ref_id, b.ref_id AS id, a.file = b.file AS sf, regexp_extract(a.file, '^(.*)/[^/]*$', 1) = regexp_extract(b.file, '^(.*)/[^/]*$', 1) AS sd, b.qualified_name <> '' AS sq, coalesce(b.file = i2.target, false) AS si
+  FROM r a JOIN r b ON a.name = b.name AND a.ref_id <> b.ref_id LEFT JOIN i2 ON i2.file = a.file AND i2.name = a.name),
+k AS (SELECT *, sum(sf::INT) OVER w AS nf, sum(sd::INT) OVER w AS nd, sum(sq::INT) OVER w AS nq, sum(si::INT) OVER w AS ni, count(*) OVER w AS n FROM j WINDOW w AS (PARTITION BY ref_id)),
+v AS (SELECT *, CASE WHEN nf > 0 THEN 'same_file' WHEN nd = 1 THEN 'same_dir' WHEN nq = 1 THEN 'qualified' WHEN ni > 0 THEN 'import' WHEN n = 1 THEN 'only' END AS rule FROM k)
+SELECT ref_id, id, rule FROM v WHERE CASE rule WHEN 'same_file' THEN sf WHEN 'same_dir' THEN sd WHEN 'qualified' THEN sq WHEN 'import' THEN si WHEN 'only' THEN true ELSE false END""")
 def reference_candidates(spark, d):
-    p = _parts(spark, d)
-    return L.candidates(p.withColumnRenamed("id", "ref_id"), p)
+    table(spark, d, "part").createOrReplaceTempView("part")
+    p = spark.sql(_REFS)
+    first = p.groupBy("name").agg(F.min("file").alias("target"))
+    imports = p.where("ref_id % 2 = 0").select("file", "name").join(first, "name")
+    return L.candidates(p, p.withColumnRenamed("ref_id", "id"), imports)
 
 
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _SPANS = "SELECT event_id AS id, 'f' || user_id AS file, event_id * 7 % 5000 AS span_start, event_id * 7 % 5000 + event_id % 90 AS span_end FROM events"
 
 
@@ -371,8 +396,8 @@ def enclosing_symbols(spark, d):
 
 
 @query("""WITH b AS (SELECT item_id AS id, string_split(regexp_replace(text, '[^A-Za-z0-9_]+', ' ', 'g'), ' ')[1] AS name FROM benchmark), u AS (SELECT name, min(id) AS id FROM b GROUP BY 1 HAVING count(*) = 1),
-t AS (SELECT DISTINCT doc_id, unnest(string_split(regexp_replace(text, '[^A-Za-z0-9_]+', ' ', 'g'), ' ')) AS token FROM documents)
-SELECT DISTINCT doc_id AS source, id FROM t JOIN u ON t.token = u.name WHERE length(token) >= 4 AND NOT regexp_matches(token, '^[0-9]') AND doc_id <> id""")
+t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '[^\\p{L}\\p{N}_]+')) AS token FROM documents)
+SELECT DISTINCT doc_id AS source, id FROM t JOIN u ON t.token = u.name WHERE strlen(token) >= 4 AND token NOT IN (""" + _STOP + ") AND doc_id <> id")
 def unique_mentions(spark, d):
     names = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.get(F.split(F.regexp_replace("text", "[^A-Za-z0-9_]+", " "), " "), F.lit(0)).alias("name"))
     words = table(spark, d, "documents").select(F.col("doc_id").alias("source"), F.explode(T.tokens("text")).alias("word"))
@@ -380,8 +405,8 @@ def unique_mentions(spark, d):
 
 
 @query("""WITH b AS (SELECT item_id AS id, string_split(regexp_replace(text, '[^A-Za-z0-9_]+', ' ', 'g'), ' ')[2] AS name, 'b' || item_id % 9 AS file FROM benchmark),
-t AS (SELECT DISTINCT 'd' || doc_id AS from_file, unnest(string_split(regexp_replace(text, '[^A-Za-z0-9_]+', ' ', 'g'), ' ')) AS token FROM documents),
-h AS (SELECT from_file, file AS to_file, id, token, lag(file) OVER (PARTITION BY from_file ORDER BY token, id) AS prev FROM t JOIN b ON token = name WHERE length(token) >= 4 AND NOT regexp_matches(token, '^[0-9]'))
+t AS (SELECT DISTINCT 'd' || doc_id AS from_file, unnest(regexp_split_to_array(text, '[^\\p{L}\\p{N}_]+')) AS token FROM documents),
+h AS (SELECT from_file, file AS to_file, id, token, lag(file) OVER (PARTITION BY from_file ORDER BY token, id) AS prev FROM t JOIN b ON token = name WHERE strlen(token) >= 4 AND token NOT IN (""" + _STOP + """))
 SELECT from_file, to_file, id, token FROM h WHERE prev IS NULL OR prev <> to_file""")
 def token_links(spark, d):
     second = F.get(F.split(F.regexp_replace("text", "[^A-Za-z0-9_]+", " "), " "), F.lit(1))
@@ -403,10 +428,10 @@ def edge_dedup(spark, d):
     return L.dedup_edges(e).select("from_id", "to_id", "kind", "pass")
 
 
-@query("""WITH o AS (SELECT DISTINCT p_type AS name, p_brand AS file, 'Constant' AS kind FROM part WHERE p_size < 30), w AS (SELECT DISTINCT p_type AS name, p_brand AS file, 'Constant' AS kind FROM part WHERE p_size > 20)
+@query("""WITH o AS (SELECT DISTINCT p_type || p_size AS name, p_brand AS file, 'Constant' AS kind FROM part WHERE p_size < 30), w AS (SELECT DISTINCT p_type || p_size AS name, p_brand AS file, 'Constant' AS kind FROM part WHERE p_size > 20)
 SELECT *, 'added' AS change FROM (SELECT * FROM w EXCEPT SELECT * FROM o) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM o EXCEPT SELECT * FROM w)""")
 def snapshot_diff(spark, d):
-    p = table(spark, d, "part").select("p_size", F.col("p_type").alias("name"), F.col("p_brand").alias("file"), F.lit("Constant").alias("kind"))
+    p = table(spark, d, "part").select("p_size", F.concat("p_type", "p_size").alias("name"), F.col("p_brand").alias("file"), F.lit("Constant").alias("kind"))
     return L.snapshot_diff(p.where("p_size < 30"), p.where("p_size > 20"))
 
 
@@ -487,10 +512,14 @@ def generated_files(spark, d):
 _SURE = "conf >= CAST(0.7 AS FLOAT) AND origin IN ('CompilerDerived', 'NameResolved', 'SyntaxMatched')"
 
 
-@query(WITH + f"SELECT 'Partial' AS trust, count(*) FILTER (WHERE {_SURE}) AS verified, count(*) FILTER (WHERE NOT ({_SURE})) AS broken FROM e")
+@query(WITH + f""", p AS (SELECT 'all' AS page, * FROM e UNION ALL SELECT 'sure', * FROM e WHERE {_SURE} UNION ALL SELECT 'unsure', * FROM e WHERE NOT ({_SURE})),
+s AS (SELECT g.page, count(p.kind) FILTER (WHERE {_SURE}) AS verified, count(p.kind) FILTER (WHERE NOT ({_SURE})) AS broken FROM (VALUES ('all'), ('sure'), ('unsure'), ('none')) g(page) LEFT JOIN p USING (page) GROUP BY 1)
+SELECT page, CASE WHEN broken = 0 THEN 'Verified' WHEN verified = 0 THEN 'Broken' ELSE 'Partial' END AS trust, verified, broken FROM s""")
 def path_trust(spark, d):
-    ok = (F.col("confidence") >= F.lit(0.7).cast("float")) & F.col("origin").isin("CompilerDerived", "NameResolved", "SyntaxMatched")
-    return R.path_trust(graph(spark, d).edges, ok)
+    e, ok = graph(spark, d).edges, R.verified()
+    pages = {"all": e, "sure": e.where(ok), "unsure": e.where(~ok), "none": e.where("false")}
+    found = [R.path_trust(rows, ok).select(F.lit(page).alias("page"), "trust", "verified", "broken") for page, rows in pages.items()]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
 
 
 @query(WITH + f", x AS (SELECT id FROM n WHERE name = (SELECT min(c_name) FROM customer)) SELECT DISTINCT from_id, to_id, kind FROM e WHERE kind NOT IN ('Resolves', 'Contains', 'BelongsTo') AND (from_id IN (FROM x) OR to_id IN (FROM x))")
@@ -543,3 +572,6 @@ def change_detection(spark, d):
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def streamed_histogram(spark, d):
     return changes.drained(spark, d, "events.parquet", lambda s: s.groupBy("event_type").agg(F.count("*").alias("n")), "complete")
+
+
+from . import extra  # noqa: E402, F401  (registers its queries)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..model import CodeGraph, register, settled, stored_confidence
+from ..model import CodeGraph, by_target, impact_edges, register, settled, stored_confidence
 from ..operators.linking import drop_dangling
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -69,9 +71,9 @@ def graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     if key not in _SNAPSHOTS or _SNAPSHOTS[key][0] != now:
         built = build(spark, sf_dir)
         nodes = settled(built.nodes)
-        _SNAPSHOTS[key] = now, CodeGraph(nodes, settled(drop_dangling(built.edges, nodes)))
-    kept = _SNAPSHOTS[key][1]
-    return CodeGraph(kept.nodes, kept.edges)
+        edges = settled(drop_dangling(built.edges, nodes))
+        _SNAPSHOTS[key] = now, CodeGraph(nodes, edges, by_target(impact_edges(CodeGraph(nodes, edges))))
+    return replace(_SNAPSHOTS[key][1])
 
 
 def build(spark: SparkSession, sf_dir: str) -> CodeGraph:
@@ -79,5 +81,5 @@ def build(spark: SparkSession, sf_dir: str) -> CodeGraph:
     register(spark, sf_dir, TABLES)
     spark.sql(NODES).createOrReplaceTempView("raw_nodes")
     edges = spark.sql(EDGES).withColumnRenamed("stale", "stale_evidence_count").withColumn("confidence", stored_confidence())
-    edges = edges.withColumn("evidence_file", F.lit("")).withColumn("created_at_epoch", F.lit(0).cast("long"))
+    edges = edges.withColumn("evidence_file", F.concat(F.lit("crates/e"), (F.col("to_id") % 4).cast("string"), F.lit("/src/x.rs"))).withColumn("created_at_epoch", F.lit(0).cast("long"))
     return CodeGraph(spark.sql(FILED), edges)

@@ -23,11 +23,11 @@ def helper(x):
 
 
 def test_python_and_markdown_symbols(spark):
-    text = "# One\n\nSee `helper` and `git status`.\n```\n# not a heading\n```\n## Two\n"
+    text = "# One\n\nSee `helper` and `a + b`.\n```\n# not a heading\n```\n## Two\n"
     rows = [("a.py", SOURCE), ("b.md", text), ("bad.py", "def ("), ("c.rs", "fn x() {}"), ("n.py", None)]
     got = {(r.file, r.kind, r.name): r for r in extract.symbols(spark.createDataFrame(rows, "file string, content string")).collect()}
     assert set(got) == {("a.py", "Constant", "LIMIT"), ("a.py", "Class", "Box"), ("a.py", "Method", "open"), ("a.py", "Function", "_hidden"), ("a.py", "Function", "helper"),
-                        ("b.md", "DocSection", "One"), ("b.md", "DocSection", "Two")}
+                        ("b.md", "DocSection", "One"), ("b.md", "DocSection", "Two"), ("c.rs", "Function", "x")}
     raw = SOURCE.encode()
     helper = got["a.py", "Function", "helper"]
     assert raw[helper.span_start : helper.span_end].startswith(b"def helper") and got["a.py", "Function", "_hidden"].visibility == "Private"
