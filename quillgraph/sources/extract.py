@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import config_symbols
+
 SYMBOLS = "file string, kind string, name string, span_start long, span_end long, visibility string, refs array<string>"
 FACTS = "file string, what string, kind string, name string, span_start long, span_end long, visibility string, is_test boolean, doc_start long, doc_end long"
 
@@ -364,7 +366,7 @@ def literals(content: str, extension: str) -> Iterator[tuple]:
 
 
 def facts(sources: DataFrame) -> DataFrame:
-    """``sources(file, content)`` -> a row for each symbol (literals included), reference and doc comment.
+    """``sources(file, content)`` -> a row for each symbol (literals and configuration keys included), reference and doc comment.
 
     ``what`` tells which; references stand at ``span_start``, doc comments name their symbol's span and their own. Null
     contents and files without an extractor have none.
@@ -378,6 +380,7 @@ def facts(sources: DataFrame) -> DataFrame:
                 extension = file.rpartition(".")[2].lower() if file else ""
                 found = EXTRACTORS[extension](content) if content and extension in EXTRACTORS else Found()
                 more = list(literals(content, extension)) if content else []
+                more += [("ConfigKey", key, s, e, "Unknown", False) for key, s, e in config_symbols(file, content)] if file and content else []
                 rows += [(file, "symbol", k, n, s, e, v, t, None, None) for k, n, s, e, v, t in [*found.symbols, *more]]
                 rows += [(file, "ref", k, n, at, at, None, None, None, None) for k, n, at in found.refs]
                 rows += [(file, "doc", None, None, s, e, None, None, ds, de) for s, e, ds, de in found.docs]

@@ -40,28 +40,111 @@ def scan(spark: SparkSession, root: str, extensions: list[str], ignores: list[st
     return out.orderBy("file")
 
 
+#: Files of build tools, whose keys are no configuration that code refers to.
+BUILD_FILES = [
+    "Cargo.toml", "package.json", "package-lock.json", "pnpm-lock.yaml", "pnpm-workspace.yaml", "lerna.json", "tsconfig.json", "jsconfig.json", "babel.config.json", ".babelrc.json",
+    ".eslintrc.json", ".eslintrc.yaml", ".eslintrc.yml", ".prettierrc.json", ".prettierrc.yaml", ".prettierrc.yml", "tslint.json", "deno.json", "pyproject.toml", "composer.json",
+]
+CONFIG_EXTENSIONS = ["yaml", "yml", "toml", "json", "properties"]
+_ENTRY = re.compile(r"""^( *)("[^"]*"|'[^']*'|[^\s#'"\[\]{},&*!|>%@-][^#]*?|-[^\s#][^#]*?) *:(?:\s+(.*))?$""")
+
+
 def _leaves(value, prefix: str = ""):
+    """Dotted paths of values that aren't mappings; an empty mapping has none."""
     if isinstance(value, dict):
         for k, v in value.items():
-            yield from _leaves(v, f"{prefix}.{k}" if prefix else str(k))
-    elif prefix:
-        yield prefix
+            path = f"{prefix}.{k}" if prefix else str(k)
+            if isinstance(v, dict):
+                yield from _leaves(v, path)
+            else:
+                yield path
+
+
+def _flow(text: str) -> dict | None:
+    """A mapping in braces on one line, lists and scalars in it as None; None for anything else."""
+    parts = re.findall(r"""[{}\[\],:]|"[^"]*"|'[^']*'|[^{}\[\],:"']+""", text)
+    parts, at = [x for x in parts if x.strip()], 0
+
+    def value():
+        nonlocal at
+        if at < len(parts) and parts[at] == "{":
+            at += 1
+            out = {}
+            while at < len(parts) and parts[at] != "}":
+                key = parts[at].strip().strip("'\"")
+                at += 1
+                if at < len(parts) and parts[at] == ":":
+                    at += 1
+                    out[key] = value()
+                elif key and key != ",":
+                    out[key] = None
+            at += 1
+            return out
+        depth = 0
+        while at < len(parts) and (depth or parts[at] not in ",}"):
+            depth += {"[": 1, "{": 1, "]": -1, "}": -1}.get(parts[at], 0)
+            at += 1
+        return None
+
+    return value() if text.startswith("{") else None
 
 
 def _yaml_leaves(text: str):
-    """Leaf keys of plain block mappings, by indentation."""
+    """Leaf keys of block mappings by indentation, of mappings in braces, and of keys with lists or texts of several lines,
+    which are leaves. Anchors, tags and keys over several lines aren't read."""
     stack: list[tuple[int, str]] = []
+    waiting: tuple[int, str] | None = None  # a key without a value so far: its indentation and path
+    skip: int | None = None  # lines farther in than this belong to a list or to a text of several lines
     for line in text.splitlines():
-        m = re.match(r"^( *)([\w.\-/]+) *:(?: +(.*))?$", line)
-        if not m or line.lstrip().startswith("#"):
+        body = line.strip()
+        if not body or body[0] in "#%" or body in ("---", "..."):
+            continue
+        deep = len(line) - len(line.lstrip(" "))
+        if skip is not None and deep > skip:
+            continue
+        skip = None
+        if body == "-" or body.startswith("- "):
+            if waiting:
+                yield waiting[1]
+                waiting = None
+            skip = deep
+            continue
+        m = _ENTRY.match(line)
+        if not m:
             continue
-        deep, key, value = len(m[1]), m[2], (m[3] or "").split(" #")[0].strip()
+        if waiting and deep <= waiting[0]:
+            yield waiting[1]
+        waiting = None
+        key, value = m[2].strip("'\""), re.sub(r"\s+#.*$", "", m[3] or "").strip()
+        value = "" if value.startswith("#") else value
         while stack and stack[-1][0] >= deep:
             stack.pop()
         path = ".".join([k for _, k in stack] + [key])
         stack.append((deep, key))
-        if value:
+        if not value:
+            waiting = (deep, path)
+        elif value[0] in "|>":
             yield path
+            skip = deep
+        else:
+            inner = _flow(value)
+            yield from [path] if inner is None else _leaves(inner, path)
+    if waiting:
+        yield waiting[1]
+
+
+def config_symbols(file: str, text: str):
+    """(key, start, end) of each key of a configuration file: where the key's last segment first stands in the text, as
+    UTF-8 bytes (0 where it doesn't). Files of build tools have none."""
+    name = file.rpartition("/")[2]
+    extension = name.rpartition(".")[2].lower()
+    if extension not in CONFIG_EXTENSIONS or name in BUILD_FILES or (name.startswith("tsconfig.") and name.endswith(".json")):
+        return
+    raw = text.encode("utf-8", "surrogatepass")
+    for key in config_keys(text, extension):
+        last = key.rpartition(".")[2].encode("utf-8", "surrogatepass")
+        start = max(raw.find(last), 0)
+        yield key, start, start + len(last)
 
 
 def config_keys(text: str, extension: str) -> list[str]:

@@ -325,3 +325,32 @@ def test_subsequence_search(spark):
         assert got == {t: pytest.approx(score(q, t)) if score(q, t) is not None else None for t in texts}, q
     nodes = spark.createDataFrame([(1, "x", "src/user.rs", 0), (2, "User", "a", 3), (3, "other", "b", 99)], "id long, name string, file string, degree long")
     assert [r.id for r in T.search(nodes, " user ").collect()] == [2, 1]
+
+
+def test_configuration_keys():
+    yaml = "# c\nserver:\n  port: 80 # x\n  \"a b\": {c: 1, d: {e: [1, 2], f: 'x'}}\n  hosts:\n    - name: n\n      x: 1\n  text: |\n    not: key\n  empty:\nlist:\n- a: 1\n- b\nurl: http://x:80/y\n---\nlast:\n"
+    assert files.config_keys(yaml, "yml") == ["server.port", "server.a b.c", "server.a b.d.e", "server.a b.d.f", "server.hosts", "server.text", "server.empty", "list", "url", "last"]
+    assert files.config_keys('{"a": {"b": [1], "c": {}}, "d": null}', "json") == ["a.b", "d"]
+    assert files.config_keys("x = 1\n[t.u]\ny = [1]\n", "toml") == ["x", "t.u.y"]
+    assert list(files.config_symbols("é/app.toml", "# é port\n[server]\nport = 1\n")) == [("server.port", 5, 9)]
+    assert not list(files.config_symbols("w/tsconfig.build.json", '{"a": 1}')) and not list(files.config_symbols("package.json", '{"a": 1}')) and not list(files.config_symbols("b.json", "{bad"))
+
+
+def test_verbs(spark, sources):
+    from quillgraph import verbs
+
+    e = verbs.Engine.index(sources)
+    assert e.query("run", "full")["total"] > 0 and next(e.show("run")).startswith("run: ")
+    assert e.stats().first().symbols == e.graph.nodes.count()
+    assert {r.name for r in e.definitions("open").collect()} == {"open"} and e.symbols("RUN").first().name == "run"
+    assert e.impact("run").count() == 1 and e.risk("run").first().callers == 1
+    assert {r.parameter for r in e.drift().collect()} == {"gone", "siz"}
+    assert {r.name: r.definitions for r in e.batch(spark.createDataFrame([("run",), ("none",)], "name string")).collect()} == {"run": 1, "none": None}
+    totals = e.diff_totals(spark.createDataFrame([("c.ts",)], "file string")).first()
+    assert totals.reached >= 1 and totals.orphans >= 0
+    assert e.export("dot", 0.0).count() == e.graph.nodes.count() + e.graph.edges.count() and e.export("json", 0.0).count() == e.export("cypher", 0.0).count() + 1
+    assert e.orphans().count() >= verbs.Engine(e.graph, ignored=["*.rs"]).orphans().count()
+    assert e.search("svc").first().name == "Svc" and set(e.recommend()) == {"cap", "noise", "generated"}
+    assert {"query", "impact", "diff", "index"} <= set(verbs.VERBS)
+    with pytest.raises(ValueError):
+        verbs.Engine(e.graph).drift()
