@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 from quillgraph.llm import common, jaccard, mixing, pieces, quality, suffixes
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+MOST_BROADCAST = 1_000_000  # rows of 17 bytes that may be broadcast; beyond, texts are shuffled to them
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,8 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     texts = groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("__rows"), F.max(least).alias("__least"))
     marked = texts.where("NOT __least OR __rows > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__least")
     marked = common.stored(marked, "near-copies")  # only what doesn't simply stay
-    rows = docs.join(marked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
+    near = F.broadcast(marked) if marked.count() <= MOST_BROADCAST else marked
+    rows = docs.join(near, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
     others = [c for c in COLUMNS if c not in ("doc_id", "text")]
     once = rows.where("__least").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("__row")).select("doc_id", "text", "__row.*")
     return rows.where("__least IS NULL").select(*COLUMNS).unionByName(once.select(*COLUMNS))
