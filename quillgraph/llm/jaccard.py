@@ -272,7 +272,7 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 8000,
 
     known = common.stored(docs.mapInArrow(common.returning(describe), "doc_id long, text_hash long, n long, node long, sigs array<long>, vec binary"), "jaccard-docs")
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    nodes = known.where("n > 0").groupBy("node").agg(F.min(row).alias("rep"))
+    nodes = common.stored(known.where("n > 0").groupBy("node").agg(F.min(row).alias("rep")), "jaccard-nodes")
 
     def shared(batches):
         """Blocks of two or more sets, named by a hash of their members, so that blocks of the same members become one;
@@ -338,8 +338,8 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 90, chunk: int = 8000,
 
     hull_edges = blocks.select("__deal", "node", "n", "vec").repartition("__deal").sortWithinPartitions("__deal").mapInArrow(common.returning(hull_links), "a long, b long")
     hulls = common.components(hull_edges.where("a <> b"), "jaccard-hulls").withColumnsRenamed({"id": "node", "component": "hull"})
-    chosen = known.select("node", "doc_id", "text_hash").join(hulls, "node").groupBy("node", "hull").agg(F.min(row).alias("__row"))
-    chosen = common.stored(chosen.select("node", "hull", F.col("__row.doc_id").alias("__id"), F.col("__row.text_hash").alias("__hash")), "jaccard-chosen")
+    chosen = nodes.join(hulls, "node")  # a row a node, however many copies it has
+    chosen = common.stored(chosen.select("node", "hull", F.col("rep.doc_id").alias("__id"), F.col("rep.text_hash").alias("__hash")), "jaccard-chosen")
     small = chosen.count() <= most_broadcast
     texts = docs.join(F.broadcast(chosen) if small else chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
 
