@@ -61,6 +61,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    _STORED.append(path)
+    return out
+
+
+_STORED: list[str] = []  # what this process has stored, in order
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` gives, stored; the tables that were stored on the way are deleted."""
+    mark = len(_STORED)
+    out = stored(make(), name)
+    _delete(out.sparkSession, *[p for p in _STORED[mark:] if p != out.stored_at])
+    _STORED[mark:] = [out.stored_at]
     return out
 
 
@@ -81,9 +94,13 @@ def told_apart(df: DataFrame, key: str, other: str) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Delete stored tables that no plan needs any more."""
     for df in tables:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.stored_at)
+
+
+def _delete(spark: SparkSession, *paths: str) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def returning(work: Callable) -> Callable:
