@@ -82,9 +82,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. A stage's own tables, and its input once it has been read, are deleted."""
     docs = common.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.stored(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        before = docs
+        docs = common.settled(lambda stage=stage, before=before: stage(spark, before, sf_dir), f"pipeline-{name}")
+        if hasattr(before, "stored_at"):
+            common.drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
