@@ -19,13 +19,14 @@ REFERENCE_EDGES = {"Call": "Calls", "TypeUse": "References", "ValueRef": "Refere
 TYPE_LIKE = ["Class", "Struct", "Trait", "Interface", "Enum", "TypeAlias"]
 DOC_KINDS = ["DocComment", "DocSection"]
 NOT_NAMED = [*DOC_KINDS, "File", "Module"]
-#: Patterns of type annotations and of type arguments, by language.
+#: Patterns of type annotations by language, of links in doc comments, and of type arguments.
 TYPE_PATTERNS = {
     "rust": [r"let\s+(?:mut\s+)?[A-Za-z_][A-Za-z0-9_]*\s*:\s*([A-Z][A-Za-z0-9_]*)", r"(?:->|:)\s*(?:&(?:mut\s+)?)?([A-Z][A-Za-z0-9_]*)"],
     "typescript": [r"(?:let|const|var)\s+[A-Za-z_][A-Za-z0-9_]*\s*:\s*([A-Z][A-Za-z0-9_]*)", r"[A-Za-z_][A-Za-z0-9_]*\s*:\s*([A-Z][A-Za-z0-9_]*)"],
     "java": [r"(?m)^\s*(?:private|protected|public)?\s*(?:final\s+)?([A-Z][A-Za-z0-9_]+)\s+[a-z][A-Za-z0-9_]*\s*[=;]", r"\(([A-Z][A-Za-z0-9_]+)\s+[a-z][A-Za-z0-9_]*"],
 }
 TYPE_EXTENSIONS = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "java": "java", "kt": "java"}
+DOC_LINKS = [r"\[`([^`]+)`\]", r"\{@link(?:code|plain)?\s+([^}|]+)"]
 TYPE_ARGUMENT = r"[A-Z][A-Za-z0-9_]*\s*<\s*([A-Z][A-Za-z0-9_]+)(?:\s*,\s*[A-Z][A-Za-z0-9_]+)*\s*>"
 
 
@@ -101,7 +102,7 @@ def documents(facts: DataFrame, nodes: DataFrame, first: int) -> tuple[DataFrame
 
 def link_targets(text) -> Column:
     """Last identifiers of the link targets in a doc comment: backticks in brackets, and link tags."""
-    shown = F.concat(F.regexp_extract_all(text, F.lit(r"\[`([^`]+)`\]"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"\{@link(?:code|plain)?\s+([^}|]+)"), F.lit(1)))
+    shown = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in DOC_LINKS])
     first = F.transform(shown, lambda s: F.regexp_replace(F.regexp_extract(s, r"^\s*([^\s|]+)", 1), r"[()]+$", ""))
     last = F.transform(first, lambda s: F.regexp_extract(s, r"([^.#:]*)$", 1))
     return F.filter(last, lambda s: s.rlike(r"^[\p{L}_][\p{L}\p{N}_]*$"))
@@ -112,9 +113,7 @@ def mentions(docs: DataFrame, sources: DataFrame, nodes: DataFrame) -> DataFrame
 
     A comment doesn't mention the symbol that it documents.
     """
-    from ..functions.text import utf8_bytes
-
-    body = F.substring(utf8_bytes("content"), (F.col("span_start") + 1).cast("int"), (F.col("span_end") - F.col("span_start")).cast("int"))
+    body = F.substring(T.utf8_bytes("content"), (F.col("span_start") + 1).cast("int"), (F.col("span_end") - F.col("span_start")).cast("int"))
     text = docs.join(sources.select("file", "content"), "file").select("id", "name", "file", F.decode(F.encode(body, "ISO-8859-1"), "UTF-8").alias("text"))
     words = text.select(F.col("id").alias("source"), "name", "file", F.explode(F.array_distinct(link_targets(F.col("text")))).alias("word")).where("concat('doc::', word) <> name")
     found = linking.unique_mentions(words.select("source", "word"), nodes.where(~F.col("kind").isin(NOT_NAMED)))

@@ -54,15 +54,29 @@ def candidates(refs: DataFrame, defs: DataFrame, imports: DataFrame | None = Non
     return out.unionByName(only)
 
 
+def leveled(spans: DataFrame, start: str, last: str, width: int) -> DataFrame:
+    """Spans ``[start, last]`` filed under bins of their own size's level, two at most: adds ``level`` and ``bin``."""
+    size = F.greatest(F.col(last) - F.col(start) + 1, F.lit(1))
+    out = spans.withColumn("level", F.greatest(F.ceil(F.log2(size / width)), F.lit(0)).cast("int"))
+    wide = F.lit(width) * F.pow(F.lit(2), F.col("level")).cast("long")
+    return out.withColumn("bin", F.explode(F.array_distinct(F.array(F.floor(F.col(start) / wide), F.floor(F.greatest(start, last) / wide)))))
+
+
+def at_levels(points: DataFrame, offset: str, spans: DataFrame, width: int) -> DataFrame:
+    """Points with the bin that each level of their file's ``leveled`` spans has for them: a row for each doubling of span
+    sizes that the file has."""
+    levels = spans.select("file", "level").distinct()
+    return points.join(levels, "file").withColumn("bin", F.floor(F.col(offset) / (F.lit(width) * F.pow(F.lit(2), F.col("level")).cast("long"))))
+
+
 def enclosing(refs: DataFrame, nodes: DataFrame, width: int = 1024) -> DataFrame:
     """The narrowest symbol around each offset, else the last that starts at or before it.
 
-    ``refs(ref_id, file, offset)``, ``nodes(id, file, span_start, span_end)``. Spans are filed under every bin of
-    ``width`` bytes they touch, so the range join is an equi-join; the fallback is one pass in order of offsets.
+    ``refs(ref_id, file, offset)``, ``nodes(id, file, span_start, span_end)``. Spans stand under two bins at most, so the
+    range join is an equi-join on file, level and bin; the fallback is one pass in order of offsets.
     """
-    spans = nodes.withColumn("bin", F.explode(F.sequence(F.floor(F.col("span_start") / width), F.floor(F.greatest("span_start", "span_end") / width))))
-    at = refs.withColumn("bin", F.floor(F.col("offset") / width))
-    hit = at.join(spans, ["file", "bin"]).where("offset BETWEEN span_start AND span_end")
+    spans = leveled(nodes.select("id", "file", "span_start", "span_end"), "span_start", "span_end", width)
+    hit = at_levels(refs, "offset", spans, width).join(spans, ["file", "level", "bin"]).where("offset BETWEEN span_start AND span_end")
     near = hit.groupBy("ref_id").agg(F.min(F.struct((F.col("span_end") - F.col("span_start")).alias("w"), "span_start", "id")).getField("id").alias("inner"))
     last = F.last("node", True).over(Window.partitionBy("file").orderBy("at", "is_ref", "node").rowsBetween(Window.unboundedPreceding, 0))
     line = refs.select("file", F.col("offset").alias("at"), F.lit(1).alias("is_ref"), F.lit(None).cast("long").alias("node"), "ref_id").union(

@@ -6,22 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spans
+from . import linking
 
 
 def enclosing_half_open(refs: DataFrame, nodes: DataFrame, width: int = 1024, narrowest: bool = True) -> DataFrame:
     """Symbols whose span, without its end, holds an offset: ``refs(ref_id, file, offset)``, ``nodes(id, file, span_start, span_end)``.
 
-    The narrowest (the least id on ties), or all of them. Spans are filed under bins of a width of their own size's
-    level, so a span fills two at most; a reference looks into one bin a level, and the join is by equality.
+    The narrowest (the least id on ties), or all of them; by an equi-join on file, level and bin, as ``linking.enclosing``.
     """
-    size = F.greatest(F.col("span_end") - F.col("span_start"), F.lit(1))
-    level = F.greatest(F.ceil(F.log2(size / width)), F.lit(0)).cast("int")
-    wide = F.lit(width) * F.pow(F.lit(2), F.col("level")).cast("long")
-    held = nodes.where("span_end > span_start").withColumn("level", level)
-    held = held.withColumn("bin", F.explode(F.array_distinct(F.array(F.floor(F.col("span_start") / wide), F.floor((F.col("span_end") - 1) / wide)))))
-    levels = held.select("level").distinct()  # one for each doubling of the size, 30 or so at most
-    at = refs.join(F.broadcast(levels)).withColumn("bin", F.floor(F.col("offset") / wide))
-    hit = at.join(held, ["file", "level", "bin"]).where("span_start <= offset AND offset < span_end")
+    held = linking.leveled(nodes.where("span_end > span_start").withColumn("__last", F.col("span_end") - 1), "span_start", "__last", width)
+    hit = linking.at_levels(refs, "offset", held, width).join(held, ["file", "level", "bin"]).where("span_start <= offset AND offset < span_end")
     if not narrowest:
         return hit.select("ref_id", "id")
     return hit.groupBy("ref_id").agg(F.min(F.struct((F.col("span_end") - F.col("span_start")).alias("w"), "id"))["id"].alias("id"))
