@@ -125,24 +125,23 @@ def enum_mismatches(variants: DataFrame) -> DataFrame:
 def near_paths(paths: DataFrame, most: int = 2) -> DataFrame:
     """``paths(path, file)``: pairs of paths at an edit distance of 1 to ``most`` bytes, each unordered pair once.
 
-    Both have two segments or more, lengths differ by at most 20 %, and they are in different files. A path is cut into
-    ``most`` + 1 pieces, of which ``most`` edits leave one whole and moved by at most ``most`` bytes; the other path is
-    looked at there for every length that a partner may have. So the join is by equality on lengths and pieces.
+    Both have two segments or more, lengths differ by at most 20 %, and they are in different files. Strings within d
+    edits share a variant with at most d bytes deleted, so pairs meet by equal hashes of variants, however much of a
+    path many others begin with; what meets is verified.
     """
-    one = paths.where(T.segment_count("path") >= 2).groupBy("path").agg(F.min("file").alias("lo"), F.max("file").alias("hi"))
-    one = one.withColumn("b", T.utf8_bytes("path")).withColumn("n", F.length("b"))
-    cut = lambda n, i: F.floor(n * i / (most + 1)).cast("int")
-    piece = lambda n, i, move: F.struct(n.alias("m"), F.lit(i).alias("i"), F.substring(F.col("b"), cut(n, i) + 1 + move, cut(n, i + 1) - cut(n, i)).alias("piece"))
-    own = F.array(*[piece(F.col("n"), i, F.lit(0)) for i in range(most + 1)])
-    kept = one.select("path", "b", "n", "lo", "hi", F.explode(own).alias("k")).select("path", "b", "n", "lo", "hi", "k.*")
-    # a partner of length n + d, d at most ``most``: where its i-th piece may stand in this path
-    moves = [F.when(cut(F.col("n") + d, i) + F.lit(move) >= 0, piece(F.col("n") + d, i, F.lit(move))) for d in range(-most, most + 1) for i in range(most + 1) for move in range(-most, most + 1) if abs(move) + abs(d + move) <= most]
-    asked = one.select(F.col("path").alias("other"), F.col("b").alias("b2"), F.col("n").alias("n2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.array_distinct(F.array_compact(F.array(*moves)))).alias("k"))
-    pairs = kept.join(asked.select("other", "b2", "n2", "lo2", "hi2", "k.*"), ["m", "i", "piece"])
-    close = F.abs(F.col("n") - F.col("n2")) * 5 <= F.greatest("n", "n2")
+    one = paths.where(T.segment_count("path") >= 2).groupBy("path").agg(F.min("file").alias("lo"), F.max("file").alias("hi")).withColumn("b", T.utf8_bytes("path"))
+    cuts = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+    variants = [F.array("b")]
+    for _ in range(most):
+        variants.append(F.array_distinct(F.flatten(F.transform(variants[-1], cuts))))
+    keys = one.select("path", F.explode(F.array_distinct(F.transform(F.concat(*variants), lambda v: F.xxhash64(v)))).alias("key"))
+    pairs = keys.join(keys.select(F.col("path").alias("other"), "key"), "key").where("path < other").select("path", "other").distinct()
+    other = one.select(F.col("path").alias("other"), F.col("b").alias("b2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    near = pairs.join(one, "path").join(other, "other")
+    close = F.abs(F.length("b") - F.length("b2")) * 5 <= F.greatest(F.length("b"), F.length("b2"))
     files = ~((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2")))
-    found = pairs.where(F.col("path") < F.col("other")).where(close & files).withColumn("distance", F.levenshtein("b", "b2", most))
-    return found.where(f"distance BETWEEN 1 AND {most}").where(~T.version_only("path", "other")).select("path", "other", "distance").distinct()
+    found = near.where(close & files).withColumn("distance", F.levenshtein("b", "b2", most))
+    return found.where(f"distance BETWEEN 1 AND {most}").where(~T.version_only("path", "other")).select("path", "other", "distance")
 
 
 def missing_keys(refs: DataFrame, defs: DataFrame) -> DataFrame:
