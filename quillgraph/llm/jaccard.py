@@ -5,7 +5,9 @@ point, and the overlap of two documents is at most the sum of their coordinates'
 sum from boxes, so only pairs that could reach the threshold are verified on the sets themselves.
 
 A corpus doesn't fit one tree, so points first meet in blocks: sets at most D shingles apart that are split by hash into
-more than D groups have an equal group, so blocks of equal groups lose no pair. Near copies share most of their groups,
+more than D groups have an equal group, so blocks of equal groups lose no pair. Empty groups are equal in many unlike
+sets; there are so many groups that sets which link have an equal one that isn't empty, and small sets meet by single
+shingles. Near copies share most of their groups,
 so blocks of the same members are one. Within a block a tree finds the pairs
 whose bound passes; what they connect makes hulls, and each hull's sets are joined by a tree and verified. A hull or
 block of any size is dealt out by pairs of chunks.
@@ -13,6 +15,9 @@ block of any size is dealt out by pairs of chunks.
 
 from __future__ import annotations
 
+import math
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 STEP = 1.6  # ratio of the size levels
-SPARE = 2  # empty groups that a set may have before they count as groups
+SPARE = 2  # empty groups that a set may have before they count as groups, at least
 FULL = 255  # coordinates are bytes; a full one bounds nothing
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -63,31 +68,51 @@ def apart(n: int, percent: int) -> int:
     return n * (100 - percent) // percent
 
 
-def levels(n: int, percent: int) -> list[tuple[int, int]]:
-    """(level, groups) under which a set of n shingles files itself: its own and all below that a set it may link with has."""
+@cache
+def spare(least: int, differ: int) -> int:
+    """Empty groups that a set of ``least`` or more may have, above those that the hash leaves empty; SPARE if that takes more groups than shingles."""
+    out = SPARE
+    while (groups := differ + 1 + out) <= least:
+        more = SPARE + int(1.3 * groups * math.exp(-least / groups))
+        if more <= out:
+            return out
+        out = more
+    return SPARE
+
+
+def levels(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """(level, groups, spare) under which a set of n shingles files itself: its own and all below that a set it may link with has."""
     tops = [16.0]
     while n >= tops[-1]:
         tops.append(tops[-1] * STEP)
     k = len(tops) - 1
-    out = [(k, tops[k])]
+    held = [k]
     while k and n * percent < tops[k - 1] * 100:
         k -= 1
-        out.append((k, tops[k]))
-    return [(level, apart(int(np.ceil(t)) - 1, percent) + 1 + SPARE) for level, t in out]
+        held.append(k)
+    out = []
+    for level in held:
+        differ = apart(math.ceil(tops[level]) - 1, percent)
+        empty = spare(math.ceil(tops[level - 1]), differ) if level else SPARE
+        out.append((level, differ + 1 + empty, empty))
+    return out
 
 
 def signatures(x: np.ndarray, percent: int) -> np.ndarray:
-    """A hash for each group of a set, by level. Sets too small to differ at all have none."""
+    """A hash for each group of a set, by level; at the lowest level for each shingle. Sets too small to differ at all have none."""
     if apart(int(np.ceil(len(x) * 100 / percent)), percent) < 1:
         return np.empty(0, dtype=np.int64)
     out, inner = [], _mix(x)
-    for level, groups in levels(len(x), percent):
+    for level, groups, empty in levels(len(x), percent):
+        if not level:  # sets that link share a shingle, and so small a set leaves too many groups empty
+            out.append(_mix(inner + _B))
+            continue
         g = ((_mix(x + np.uint64(level * int(_C) % 2**64)) >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
         order = np.argsort(g, kind="stable")
         g = g[order]
         at = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
         held, sums = g[at], np.add.reduceat(inner[order], at)
-        if groups - len(held) > SPARE:
+        if groups - len(held) > empty:
             held = np.r_[held, np.setdiff1d(np.arange(groups, dtype=np.uint64), held)]
             sums = np.r_[sums, np.zeros(len(held) - len(sums), dtype=np.uint64)]
         out.append(_mix(sums + held * _A + np.uint64((level + 1) * int(_B) % 2**64)))
