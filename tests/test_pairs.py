@@ -20,3 +20,33 @@ def test_mismatches_of_a_frequent_literal_are_counted(spark):
     n = 200_000  # 16 billion pairs
     v = spark.range(n).select("id", F.concat(F.lit("p"), F.col("id") % 5).alias("parent"), F.lit("common").alias("literal"))
     assert [tuple(r) for r in analysis.enum_mismatch_counts(v).collect()] == [("common", n * (n - 1) // 2 - 5 * (n // 5) * (n // 5 - 1) // 2)]
+
+
+def test_near_paths_with_runs_and_shifts_by_brute_force(spark):
+    rng = random.Random(7)
+    rows = sorted({"/" + "".join(rng.choices("aab/", k=rng.randint(5, 14))) for _ in range(260)} | {"/a" + "a" * n + "/b" for n in range(6, 14)} | {"/v1/é/abcdef", "/v1/e/abcdef", "/v1/abcdef"})
+    rows = [p for p in rows if len([s for s in p.split("/") if s]) >= 2]
+
+    def distance(a, b):
+        p, q = a.encode(), b.encode()
+        row = list(range(len(q) + 1))
+        for i, c in enumerate(p, 1):
+            last, row[0] = row[0], i
+            for j, e in enumerate(q, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != e))
+        return row[-1]
+
+    df = spark.createDataFrame([(p, f"f{i}") for i, p in enumerate(rows)], "path string, file string")
+    far = {(a, b): distance(a, b) for i, a in enumerate(rows) for b in rows[i + 1 :] if abs(len(a.encode()) - len(b.encode())) * 5 <= max(len(a.encode()), len(b.encode()))}
+    for most in (1, 2, 3):
+        want = {(a, b, d) for (a, b), d in far.items() if 1 <= d <= most}
+        got = [tuple(r) for r in analysis.near_paths(df, most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+def test_forms_of_near_paths_are_not_broadcast(spark):
+    rows = [(f"/en/{n}", f"f{n}") for n in range(1000, 1200)]
+    near = analysis.near_paths(spark.createDataFrame(rows, "path string, file string"))
+    assert near.count() > 200
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [key#" not in plan and "SortMergeJoin [key#" in plan
