@@ -5,7 +5,8 @@ their terms over all shards and the mean length give scores that don't depend on
 best k, and the best k of these are the answer. A sixteenth of the shards answers first; a query's k-th score there is
 a floor for the others, which return nothing below it. Within a shard documents lie in blocks; a block's upper bound is the sum
 of its terms' largest contributions (the WAND pivot test, made for all blocks at once), and blocks whose bound is below
-the k-th score so far are never scored.
+the k-th score so far are never scored. Queries come to a shard several at once, so that a block's frequent terms are
+read once for all queries that reach it.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ K1, B = 1.2, 0.75
 BLOCK = 64
 SHARD_DOCS, SHARD_BYTES = 8192, 48 << 20
 DENSE = 0.04  # terms in more of a shard's documents than this are kept as rows
+TOGETHER = 64  # queries whose frequent terms are worked out as one product
 NO_ID = -(2**63)
 COLUMNS = ("ids", "lengths", "terms", "starts", "docs", "tf")
 KINDS = {"ids": "<i8", "lengths": "<i8", "terms": "<i8", "starts": "<i8", "docs": "<u2", "tf": "<u4"}
@@ -91,69 +93,83 @@ class Shard:
         self.row_of = np.full(len(self.terms), -1, dtype=np.int64)
         often = np.flatnonzero(df > max(BLOCK, DENSE * len(self.ids)))
         self.row_of[often] = np.arange(len(often))
-        self.rows = np.zeros((len(often), self.blocks * BLOCK))
+        rows = np.zeros((len(often), self.blocks * BLOCK))
         for r, t in enumerate(often.tolist()):
-            s = slice(self.starts[t], self.starts[t + 1])
-            self.rows[r, self.docs[s]] = self.part[s]
-        self.row_tops = self.rows.reshape(len(often), self.blocks, BLOCK).max(2) if len(often) else np.zeros((0, self.blocks))
+            at = slice(self.starts[t], self.starts[t + 1])
+            rows[r, self.docs[at]] = self.part[at]
+        rows = rows.reshape(len(often), self.blocks, BLOCK)
+        self.row_tops = rows.max(2) if len(often) else np.zeros((0, self.blocks))
+        self.rows = np.ascontiguousarray(rows.transpose(1, 0, 2))  # a block's rows lie together
 
     def top(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float = 0.0) -> list[tuple[int, float]]:
-        """The best k documents with a positive score of at least ``floor``, by (score descending, doc_id): exact.
+        """As ``tops`` for one query."""
+        return self.tops(Asks([(terms, idf)]), k, np.array([floor]))[0]
 
+    def tops(self, asks: Asks, k: int, floor: np.ndarray) -> list[list[tuple[int, float]]]:
+        """For each query the best k documents with a positive score of at least its ``floor``, by (score descending, doc_id): exact.
+
+        What frequent terms give is worked out block by block, as one product for all queries whose bound reaches so far.
         Scores are rounded to 9 decimals, which hides the order of summation: copies tie wherever they are.
         """
-        at = np.searchsorted(self.terms, terms)
+        if not len(self.terms) or not len(asks.terms):
+            return [[] for _ in asks.idf]
+        at = np.searchsorted(self.terms, asks.terms)
         at[at == len(self.terms)] = 0
-        here = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), dtype=bool)
-        at, idf = at[here], idf[here]
-        if not len(at):
-            return []
-        row = self.row_of[at]
-        dense, sparse = np.flatnonzero(row >= 0), np.flatnonzero(row < 0)
-        n = self.starts[at[sparse] + 1] - self.starts[at[sparse]]
-        spot = np.repeat(self.starts[at[sparse]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(sparse) else np.empty(0, dtype=np.int64)
-        docs, worth = self.docs[spot], self.part[spot] * np.repeat(idf[sparse], n)
-        score = np.bincount(docs, weights=worth, minlength=self.blocks * BLOCK).astype(np.float64)
+        here = self.terms[at] == asks.terms
+        weight = np.zeros((len(asks.idf), len(self.row_tops)))
+        score = np.zeros((len(asks.idf), self.blocks, BLOCK))
+        for q, (spots, idf) in enumerate(zip(asks.spots, asks.idf, strict=True)):
+            found = here[spots]
+            own, gain = at[spots[found]], idf[found]
+            row = self.row_of[own]
+            dense, sparse = row >= 0, row < 0
+            weight[q, row[dense]] = gain[dense]
+            begin, gain = self.starts[own[sparse]], gain[sparse]
+            n = self.starts[own[sparse] + 1] - begin
+            spot = np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.empty(0, dtype=np.int64)
+            score[q] = np.bincount(self.docs[spot], weights=self.part[spot] * np.repeat(gain, n), minlength=self.blocks * BLOCK).reshape(self.blocks, BLOCK)
         # bounds of blocks: what the rare terms give is known exactly, the others give their block's largest at most
-        bound = score.reshape(self.blocks, BLOCK).max(1) + idf[dense] @ self.row_tops[row[dense]]
-        order = np.argsort(-bound, kind="stable")
-        first = order[: max(4, -(-2 * k // BLOCK))]
-        rows, gains = row[dense], idf[dense]
-
-        def add(blocks: np.ndarray) -> None:
-            if len(blocks) * 3 > self.blocks:
-                total = np.zeros(self.blocks * BLOCK)
-                for r, g in zip(rows.tolist(), gains.tolist(), strict=True):
-                    total += self.rows[r] * g
-                every = np.zeros(self.blocks, dtype=bool)
-                every[blocks] = True
-                score[np.repeat(every, BLOCK)] += total[np.repeat(every, BLOCK)]
-            else:
-                where = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-                total = np.zeros(len(where))
-                for r, g in zip(rows.tolist(), gains.tolist(), strict=True):
-                    total += self.rows[r, where] * g
-                score[where] += total
-
-        if floor:
-            first = first[bound[first] * (1 + 1e-12) + 1e-9 >= floor]
-            if not len(first):
-                return []
-        add(first)
-        known = (first[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        least = np.partition(score[known], -k)[-k] if len(known) >= k else 0.0
-        rest = order[len(first) :]
-        rest = rest[bound[rest] * (1 + 1e-12) + 1e-9 >= max(least, floor)]
-        if len(rest):
-            add(rest)
-            known = np.concatenate([known, (rest[:, None] * BLOCK + np.arange(BLOCK)).ravel()])
-        known = known[(known < len(self.ids))]
-        score = np.round(score, 9)
-        known = known[(score[known] > 0) & (score[known] >= floor)]
-        if len(known) > k:
-            known = known[score[known] >= np.partition(score[known], -k)[-k]]
-        best = known[np.lexsort((self.ids[known], -score[known]))][:k]
-        return list(zip(self.ids[best].tolist(), score[best].tolist(), strict=True))
+        bound = (score.max(2) + weight @ self.row_tops) * (1 + 1e-12) + 1e-9
+        known = np.zeros(bound.shape, dtype=bool)
+
+        def add(alive: np.ndarray) -> None:
+            for b in np.flatnonzero(alive.any(0)).tolist():
+                who = np.flatnonzero(alive[:, b])
+                score[who, b] += weight[who] @ self.rows[b]
+            known[alive] = True
+
+        first = np.zeros(bound.shape, dtype=bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, : max(4, -(-2 * k // BLOCK))], True, 1)
+        add(first & (bound >= floor[:, None]))
+        least = floor.copy()
+        for q in range(len(least)):
+            got = score[q, known[q]].ravel()
+            if len(got) >= k:
+                least[q] = max(least[q], np.partition(got, -k)[-k])
+        add((bound >= least[:, None]) & ~known)
+        return [self._pick(score[q], known[q], k, floor[q]) for q in range(len(least))]
+
+    def _pick(self, score: np.ndarray, known: np.ndarray, k: int, floor: float) -> list[tuple[int, float]]:
+        docs = (np.flatnonzero(known)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        docs = docs[docs < len(self.ids)]
+        got = score.ravel()[docs]
+        if len(got) > k:
+            near = got >= np.partition(got, -k)[-k] - 1e-8
+            docs, got = docs[near], got[near]
+        got = np.round(got, 9)
+        fit = (got > 0) & (got >= floor)
+        docs, got = docs[fit], got[fit]
+        best = np.lexsort((self.ids[docs], -got))[:k]
+        return list(zip(self.ids[docs[best]].tolist(), got[best].tolist(), strict=True))
+
+
+class Asks:
+    """Queries of terms and idf that shards answer together: all their terms in order, and where each query's are."""
+
+    def __init__(self, asks: list[tuple[np.ndarray, np.ndarray]]):
+        self.idf = [w for _, w in asks]
+        self.terms, at = np.unique(np.concatenate([t for t, _ in asks]), return_inverse=True)
+        self.spots = np.split(at, np.cumsum([len(w) for w in self.idf])[:-1])
 
 
 def _best(spark: SparkSession, asks: list, floor: dict[int, float], mean: float, k: int):
@@ -162,14 +178,17 @@ def _best(spark: SparkSession, asks: list, floor: dict[int, float], mean: float,
 
     def work(batches):
         held: dict[int, list[tuple[float, int]]] = {}
+        together = None
         for batch in batches:
+            if together is None:
+                together = [(part, Asks([(t, w) for _, t, w, _ in part])) for i in range(0, len(shared.value), TOGETHER) if (part := shared.value[i : i + TOGETHER])]
             for i in range(batch.num_rows):
                 shard = Shard({c: batch.column(j)[i].as_buffer() for j, c in enumerate(COLUMNS)}, mean)
-                for q, t, w, least in shared.value:
-                    own = held.get(q, [])
-                    found = shard.top(t, w, k, max(least, -own[-1][0]) if len(own) == k else least)
-                    if found:
-                        held[q] = sorted([*own, *((-s, d) for d, s in found)])[:k]
+                for part, several in together:
+                    floors = [max(least, -held[q][-1][0]) if len(held.get(q, [])) == k else least for q, _, _, least in part]
+                    for (q, *_), found in zip(part, shard.tops(several, k, np.array(floors)), strict=True):
+                        if found:
+                            held[q] = sorted([*held.get(q, []), *((-s, d) for d, s in found)])[:k]
         rows = [(q, None if d == NO_ID else d, -s) for q, own in held.items() for s, d in own]
         for at in range(0, len(rows), 50_000):
             q, d, s = zip(*rows[at : at + 50_000], strict=True)

@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from quillgraph.llm import topk
 from quillgraph.operators import analysis
 
 
@@ -50,3 +52,31 @@ def test_forms_of_near_paths_are_not_broadcast(spark):
     assert near.count() > 200
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin [key#" not in plan and "SortMergeJoin [key#" in plan
+
+
+def test_a_shard_answers_queries_together_and_leaves_low_blocks_alone():
+    rng = np.random.default_rng(5)
+    words = [np.concatenate([rng.integers(0, 40, rng.integers(1, 60)), rng.integers(100, 4000, 5)]) for _ in range(1000)]
+    words[70] = words[71] = np.arange(40)
+    made = topk.build(list(range(1000)), words)
+    shard = topk.Shard({c: made[c].astype(topk.KINDS[c]).tobytes() for c in topk.COLUMNS}, 30.0)
+    assert len(shard.rows[0]) > 30
+    asks = [(np.unique(np.append(w, 9999)), rng.random(len(np.unique(w)) + 1)) for w in (*words[:20], np.arange(40), np.array([5000]))]
+
+    def plain(terms, idf, k, floor):
+        score = np.zeros(1000)
+        for t, g in zip(terms.tolist(), idf.tolist(), strict=True):
+            tf = np.array([(w == t).sum() for w in words])
+            score += g * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * made["lengths"] / 30.0))
+        score = np.round(score, 9)
+        return [(d, score[d]) for d in np.lexsort((np.arange(1000), -score))[:k].tolist() if score[d] > 0 and score[d] >= floor]
+
+    whole = shard.tops(topk.Asks(asks), 10, np.zeros(len(asks)))
+    assert [[(d, round(s, 6)) for d, s in x] for x in whole] == [[(d, round(s, 6)) for d, s in plain(t, g, 10, 0)] for t, g in asks]
+    floor = np.array([x[2][1] if len(x) > 2 else 0.0 for x in whole])
+    assert shard.tops(topk.Asks(asks), 10, floor) == [[y for y in x if y[1] >= f] for x, f in zip(whole, floor.tolist(), strict=True)]
+    query = (np.arange(40), np.ones(40))
+    best = shard.top(*query, 2)
+    shard.rows[15] = np.nan  # a block that the bound leaves out is never read
+    shard.row_tops[:, 15] = 0
+    assert shard.top(*query, 2, best[-1][1]) == best and {d for d, _ in best} == {70, 71}
