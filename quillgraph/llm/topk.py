@@ -93,13 +93,11 @@ class Shard:
         self.row_of = np.full(len(self.terms), -1, dtype=np.int64)
         often = np.flatnonzero(df > max(BLOCK, DENSE * len(self.ids)))
         self.row_of[often] = np.arange(len(often))
-        rows = np.zeros((len(often), self.blocks * BLOCK))
+        self.rows = np.zeros((self.blocks, len(often), BLOCK))  # a block's rows lie together
         for r, t in enumerate(often.tolist()):
             at = slice(self.starts[t], self.starts[t + 1])
-            rows[r, self.docs[at]] = self.part[at]
-        rows = rows.reshape(len(often), self.blocks, BLOCK)
-        self.row_tops = rows.max(2) if len(often) else np.zeros((0, self.blocks))
-        self.rows = np.ascontiguousarray(rows.transpose(1, 0, 2))  # a block's rows lie together
+            self.rows[self.docs[at] // BLOCK, r, self.docs[at] % BLOCK] = self.part[at]
+        self.row_tops = self.rows.max(2).T if len(often) else np.zeros((0, self.blocks))
 
     def top(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float = 0.0) -> list[tuple[int, float]]:
         """As ``tops`` for one query."""
@@ -169,24 +167,22 @@ class Asks:
     def __init__(self, asks: list[tuple[np.ndarray, np.ndarray]]):
         self.idf = [w for _, w in asks]
         self.terms, at = np.unique(np.concatenate([t for t, _ in asks]), return_inverse=True)
-        self.spots = np.split(at, np.cumsum([len(w) for w in self.idf])[:-1])
+        self.spots = np.split(at.astype(np.int32), np.cumsum([len(w) for w in self.idf])[:-1])
 
 
 def _best(spark: SparkSession, asks: list, floor: dict[int, float], mean: float, k: int):
     """A task's work: the best k of all its shards for each query of a block. The block's size is bounded by its terms."""
-    shared = spark.sparkContext.broadcast([(q, t, w, floor.get(q, 0.0)) for q, t, w in asks])
+    parts = [asks[i : i + TOGETHER] for i in range(0, len(asks), TOGETHER)]
+    shared = spark.sparkContext.broadcast([([(q, floor.get(q, 0.0)) for q, _, _ in part], Asks([(t, w) for _, t, w in part])) for part in parts])
 
     def work(batches):
         held: dict[int, list[tuple[float, int]]] = {}
-        together = None
         for batch in batches:
-            if together is None:
-                together = [(part, Asks([(t, w) for _, t, w, _ in part])) for i in range(0, len(shared.value), TOGETHER) if (part := shared.value[i : i + TOGETHER])]
             for i in range(batch.num_rows):
                 shard = Shard({c: batch.column(j)[i].as_buffer() for j, c in enumerate(COLUMNS)}, mean)
-                for part, several in together:
-                    floors = [max(least, -held[q][-1][0]) if len(held.get(q, [])) == k else least for q, _, _, least in part]
-                    for (q, *_), found in zip(part, shard.tops(several, k, np.array(floors)), strict=True):
+                for part, several in shared.value:
+                    floors = [max(least, -held[q][-1][0]) if len(held.get(q, [])) == k else least for q, least in part]
+                    for (q, _), found in zip(part, shard.tops(several, k, np.array(floors)), strict=True):
                         if found:
                             held[q] = sorted([*held.get(q, []), *((-s, d) for d, s in found)])[:k]
         rows = [(q, None if d == NO_ID else d, -s) for q, own in held.items() for s, d in own]
